@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessela.llm import cooccurrence, set_similarity
+from tessela.llm import cooccurrence, set_similarity, similar_vectors
 from tessela.runtime import read
 
 
+VECTORS = {"embedding": 384, "image_embedding": 512}
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = similar_vectors.nearest(read(spark, sf_dir, "products"), "product_id", "last_updated", VECTORS, 10)
+    pair = F.least("id", "near").cast("int"), F.greatest("id", "near").cast("int")
+    return near.select("field", pair[0].alias("product_id_a"), pair[1].alias("product_id_b")).distinct()
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = cooccurrence.frequent_pairs(read(spark, sf_dir, "order_items"), "order_id", "product_id", 6, 3.0)
     return found.select(F.col("item_a").alias("product_id_a"), F.col("item_b").alias("product_id_b"))
@@ -44,6 +53,17 @@ def p6_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.select(F.col("table").alias("side"), "id", F.col("links").cast("long").alias("links"))
 
 
+_NEAREST = """
+WITH u AS (
+  SELECT 'embedding' AS field, product_id AS id, last_updated AS t, embedding::DOUBLE[] AS v FROM products WHERE len(embedding) = 384
+  UNION ALL SELECT 'image_embedding', product_id, last_updated, image_embedding::DOUBLE[] FROM products WHERE len(image_embedding) = 512
+), f AS (SELECT * FROM u WHERE list_bool_and(list_transform(v, lambda x: isfinite(x))) AND list_bool_or(list_transform(v, lambda x: x <> 0))),
+l AS (SELECT field, id, max_by(v, coalesce(t, TIMESTAMP '1900-01-01')) AS v FROM f GROUP BY 1, 2),
+s AS (SELECT x.field, x.id AS a, y.id AS b, list_cosine_similarity(x.v, y.v) AS c FROM l x JOIN l y ON x.field = y.field AND x.id <> y.id),
+r AS (SELECT field, a, b, row_number() OVER (PARTITION BY field, a ORDER BY round(c, 7) DESC, b) AS n FROM s)
+SELECT DISTINCT field, least(a, b)::INTEGER AS product_id_a, greatest(a, b)::INTEGER AS product_id_b FROM r WHERE n <= 10
+"""
+
 _PAIR_COUNTS = """
 WITH r AS (SELECT DISTINCT order_id, product_id FROM order_items WHERE order_id IS NOT NULL AND product_id IS NOT NULL),
 c AS (SELECT product_id, count(*) AS n FROM r GROUP BY 1), t AS (SELECT count(DISTINCT order_id) AS n FROM r),
@@ -66,11 +86,12 @@ p AS (
 
 
 def queries() -> dict:
-    return {"p4_found": p4_found, "p4_scores": p4_scores, "p6_found": p6_found, "p6_links": p6_links}
+    return {"p1_found": p1_found, "p4_found": p4_found, "p4_scores": p4_scores, "p6_found": p6_found, "p6_links": p6_links}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": _NEAREST,
         "p4_found": _PAIR_COUNTS
         + """SELECT j.a AS product_id_a, j.b AS product_id_b FROM j JOIN c x ON x.product_id = j.a JOIN c y ON y.product_id = j.b, t
 WHERE j.n::DOUBLE * t.n / (x.n * y.n) >= 3""",
