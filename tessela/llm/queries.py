@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessela.llm import cooccurrence, set_similarity, similar_vectors
+from tessela.llm import cooccurrence, leakage, set_similarity, similar_vectors, text_quality
 from tessela.runtime import read
 
 
@@ -53,6 +53,18 @@ def p6_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.select(F.col("table").alias("side"), "id", F.col("links").cast("long").alias("links"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "eval_items"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_quality.quality(read(spark, sf_dir, "documents")).where("not_prose").select("doc_id").distinct()
+
+
+def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_quality.quality(read(spark, sf_dir, "documents"))
+
+
 _NEAREST = """
 WITH u AS (
   SELECT 'embedding' AS field, product_id AS id, last_updated AS t, embedding::DOUBLE[] AS v FROM products WHERE len(embedding) = 384
@@ -86,7 +98,7 @@ p AS (
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p4_found": p4_found, "p4_scores": p4_scores, "p6_found": p6_found, "p6_links": p6_links}
+    return {"p1_found": p1_found, "p4_found": p4_found, "p4_scores": p4_scores, "p6_found": p6_found, "p6_links": p6_links, "p7_found": p7_found, "p9_found": p9_found, "p9_statistics": p9_statistics}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -34,8 +34,8 @@ COMMON = frozenset(
     al algo así como con cuando cual de del desde donde el ella en entre era es esta este esto está ha hasta la las le lo los me mi muy más ni no nos
     o para pero poco por porque que qué se ser si sin sobre su sus también tan te tiene todo tu un una uno y ya""".split()
 )
-_FIELDS = ("chars", "letters", "digits", "odd", "tokens", "words", "word_chars", "common", "gaps", "tabs", "pipes", "marks", "hashes", "commas", "tight", "terms", "long", "repeats", "steps")
-CHARS, LETTERS, DIGITS, ODD, TOKENS, WORDS, WORD_CHARS, COMMONS, GAPS, TABS, PIPES, MARKS, HASHES, COMMAS, TIGHT, TERMS, LONG, REPEATS, STEPS = range(len(_FIELDS))
+_FIELDS = ("chars", "letters", "digits", "odd", "tokens", "words", "word_chars", "common", "gaps", "tabs", "pipes", "marks", "hashes", "commas", "tight", "terms", "long", "repeats", "steps", "harsh")
+CHARS, LETTERS, DIGITS, ODD, TOKENS, WORDS, WORD_CHARS, COMMONS, GAPS, TABS, PIPES, MARKS, HASHES, COMMAS, TIGHT, TERMS, LONG, REPEATS, STEPS, HARSH = range(len(_FIELDS))
 _N = len(_FIELDS)
 KINDS = ("blank", "prose", "list", "table", "tags", "markup", "junk")
 _SUMS = ("lines", "terminal", "chars", "letters", "digits", "odd", "words", "word_chars", "common")
@@ -43,6 +43,7 @@ _SUMS = ("lines", "terminal", "chars", "letters", "digits", "odd", "words", "wor
 _TOKEN = re.compile(r"\S+")
 _GAP = re.compile(r"(?<=[^\s])[ \xa0]{3,}(?=[^\s])")
 _LETTER = re.compile(r"[^\W\d_]")
+_HARSH = re.compile(r"^[^aeiouyäöüáéíóúàèùâêîôûñçœæå]{3,}$|[bcdfghjklmnpqrstvwxz]{5}|^[bcdfghjklmnpqrstvwxz]{3}|[bcdfghjklmnpqrstvwxz]{4}$|q[^u]|.[jqvwx][bcdfghjkmnpqtvwxz]")
 _EDGE = re.compile(r"^[^\w]+|[^\w]+$")
 _COMMON_SIGNS = frozenset(" \t\r\x0b\x0c\xa0.,;:!?'\"()[]{}<>-–—_/\\&%+*=#@$€£°’‘“”„«»…|~^`¡¿·•")
 _BULLET = re.compile(r"(?:[-*+•·▪◦‣●○■□–—✓✔➤►]|\(?\d{1,4}[.)]|\(?[a-zA-Z][.)]|\[[ xX]?\])\s")
@@ -56,19 +57,24 @@ def _fragment(t: str, s: int, e: int, first: bool) -> list:
     own = t[s:e]
     n = [0] * _N
     body = own.strip()
+    if "\t" in own:
+        n[TABS] = own.count("\t")
+    if " " in own or "\xa0" in own:
+        end = t.find("\n", e)
+        end = len(t) if end < 0 else end
+        if "  " in t[s : min(end, e + 3)]:
+            at = t.rfind("\n", 0, s) + 1
+            n[GAPS] = sum(1 for m in _GAP.finditer(t, at, end) if s <= m.start() < e)
     if body:
         spaces = sum(map(str.isspace, own))
         letters, digits = sum(map(str.isalpha, own)), sum(map(str.isdigit, own))
         n[CHARS], n[LETTERS], n[DIGITS] = len(own) - spaces, letters, digits
         if letters + digits < n[CHARS]:
             n[ODD] = sum(1 for c in own if not c.isalnum() and not c.isspace() and c not in _COMMON_SIGNS)
-            n[TABS], n[PIPES], n[COMMAS] = own.count("\t"), own.count("|"), own.count(",")
+            n[PIPES], n[COMMAS] = own.count("|"), own.count(",")
             n[MARKS] = sum(map(own.count, '<>{}[]"'))
         end = t.find("\n", e)
         end = len(t) if end < 0 else end
-        if spaces > 2:
-            at = t.rfind("\n", 0, s) + 1
-            n[GAPS] = sum(1 for m in _GAP.finditer(t, at, end) if s <= m.start() < e)
         line = t.rfind("\n", 0, s) + 1
         recent = ["", "", "", ""]
         for m in _TOKEN.finditer(t, line if line < s else s, end):
@@ -90,9 +96,11 @@ def _fragment(t: str, s: int, e: int, first: bool) -> list:
                 if _LETTER.search(bare):
                     n[WORDS] += 1
                     n[WORD_CHARS] += len(bare)
+                    if len(bare) > 1 and _HARSH.search(bare):
+                        n[HARSH] += 1
                     if bare in COMMON or "'" in bare and bare.split("'")[0] in COMMON or "’" in bare and bare.split("’")[0] in COMMON:
                         n[COMMONS] += 1
-                if recent[0]:
+                if recent[-1]:
                     n[STEPS] += 1
                     if bare in recent:
                         n[REPEATS] += 1
@@ -117,8 +125,13 @@ def judge(line: list) -> int:
     share = n[COMMONS] / words if words else 0.0
     if n[ODD] > 0.15 * chars or n[LETTERS] + n[DIGITS] < 0.5 * chars and not words > 12:
         return 4 if n[HASHES] > 1 else 3 if n[PIPES] > 1 else 5 if n[MARKS] > 3 else 6
+    if n[STEPS] >= 4 and n[REPEATS] > 0.6 * n[STEPS]:
+        return 6
+    if words >= 4 and n[HARSH] * 5 >= words * 2 and share < 0.3:
+        return 6
     if _BULLET.match(head + " "):
-        return 2
+        # A bullet before a whole sentence is a dash of speech or a numbered paragraph, not a list item.
+        return 1 if words >= 6 and share >= 0.15 and last in ".!?…\"'”»" and n[TERMS] else 2
     if n[MARKS] >= 4 and n[MARKS] > 0.06 * chars and share < 0.25:
         return 5
     if n[HASHES] >= 2 and n[HASHES] * 3 >= n[TOKENS]:
@@ -133,8 +146,6 @@ def judge(line: list) -> int:
         return 3
     if n[LONG] and n[LONG] * 4 >= n[TOKENS]:
         return 6
-    if n[STEPS] >= 6 and n[REPEATS] > 0.6 * n[STEPS]:
-        return 6
     if words <= 5 and _PAIR.match(head) and last not in ".!?" and n[TERMS] == 0:
         return 3
     if words >= 4 and n[COMMAS] * 3 >= words * 2 and share < 0.25:
