@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,3 +39,12 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def ship(spark: SparkSession, value: object) -> Broadcast:
+    """Broadcast a value of bounded size, its classes by value; unpack() opens it in a task."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def unpack(shipped: Broadcast) -> object:
+    return pickle.loads(shipped.value)
