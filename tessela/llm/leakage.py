@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessela.runtime import ship, unpack
+
 Q = 8
 #: Items that are held in a task at a time; more are searched in blocks, one after the other.
 ITEM_BLOCK = 20_000
@@ -185,13 +187,14 @@ def leaks(
     for block in range(blocks):
         # Copies of a passage share a block, so that none is looked for twice in a task.
         rows = held.where(F.pmod(F.xxhash64("p"), F.lit(blocks)) == block).orderBy("item_id").collect()
-        index = spark.sparkContext.broadcast(Index([(r["item_id"], r["p"], r["q"]) for r in rows], run_words, part_words))
+        shipped = ship(spark, Index([(r["item_id"], r["p"], r["q"]) for r in rows], run_words, part_words))
 
-        def search(batches, index=index):
+        def search(batches, shipped=shipped):
+            index = unpack(shipped)
             for batch in batches:
                 ids, found = [], []
                 for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    hit = {i for no in leaked_texts(index.value, t, run_words, part_words, share) for i in index.value.owners[no]}
+                    hit = {i for no in leaked_texts(index, t, run_words, part_words, share) for i in index.owners[no]}
                     ids.extend([d] * len(hit))
                     found.extend(sorted(hit))
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.int64())], ["doc_id", "item_id"])
