@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessela.llm import cooccurrence, leakage, set_similarity, similar_vectors, text_quality
+from tessela.llm import cooccurrence, leakage, product_matching, set_similarity, similar_vectors, text_quality
 from tessela.runtime import read
 
 
@@ -31,6 +31,15 @@ def p4_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = product_matching.same_product_pairs(read(spark, sf_dir, "products"), "product_id", "last_updated")
+    return pairs.select(F.col("product_id_a").cast("int").alias("product_id_a"), F.col("product_id_b").cast("int").alias("product_id_b"))
+
+
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return product_matching.group_listings(read(spark, sf_dir, "products"), "product_id", "last_updated")
+
+
 def _sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     papers = set_similarity.normalised_sets(read(spark, sf_dir, "research_papers"), "id", "keywords", 5).withColumn("table", F.lit("papers"))
     images = set_similarity.normalised_sets(read(spark, sf_dir, "images"), "id", "tags", 5).withColumn("table", F.lit("images"))
@@ -98,7 +107,7 @@ p AS (
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p4_found": p4_found, "p4_scores": p4_scores, "p6_found": p6_found, "p6_links": p6_links, "p7_found": p7_found, "p9_found": p9_found, "p9_statistics": p9_statistics}
+    return {"p1_found": p1_found, "p4_found": p4_found, "p4_scores": p4_scores, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_links": p6_links, "p7_found": p7_found, "p9_found": p9_found, "p9_statistics": p9_statistics}
 
 
 def oracle_sql() -> dict[str, str]:
