@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessela.llm import cooccurrence, leakage, product_matching, set_similarity, similar_vectors, text_quality
+from tessela.llm import cooccurrence, leakage, name_variants, product_matching, set_similarity, similar_vectors, text_quality
 from tessela.runtime import read
 
 
@@ -18,6 +18,14 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("field", pair[0].alias("product_id_a"), pair[1].alias("product_id_b")).distinct()
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return name_variants.variant_pairs(read(spark, sf_dir, "research_papers"), "id", "authors")
+
+
+def p2_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return name_variants.link_names(read(spark, sf_dir, "research_papers"), "id", "authors")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = cooccurrence.frequent_pairs(read(spark, sf_dir, "order_items"), "order_id", "product_id", 6, 3.0)
     return found.select(F.col("item_a").alias("product_id_a"), F.col("item_b").alias("product_id_b"))
@@ -107,7 +115,7 @@ p AS (
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p4_found": p4_found, "p4_scores": p4_scores, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_links": p6_links, "p7_found": p7_found, "p9_found": p9_found, "p9_statistics": p9_statistics}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_entities": p2_entities, "p4_found": p4_found, "p4_scores": p4_scores, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_links": p6_links, "p7_found": p7_found, "p9_found": p9_found, "p9_statistics": p9_statistics}
 
 
 def oracle_sql() -> dict[str, str]:
