@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessela.llm import cooccurrence, leakage, name_variants, product_matching, set_similarity, similar_vectors, text_quality
+from tessela.llm import cooccurrence, leakage, mixing, name_variants, product_matching, set_similarity, similar_vectors, text_quality
 from tessela.runtime import read
 
 
@@ -74,6 +74,19 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "eval_items"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report, _ = mixing.mix(read(spark, sf_dir, "documents"), read(spark, sf_dir, "mix_targets"))
+    return report.where("short").select("source")
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"), read(spark, sf_dir, "mix_targets"))[0]
+
+
+def p8_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"), read(spark, sf_dir, "mix_targets"))[1]
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_quality.quality(read(spark, sf_dir, "documents")).where("not_prose").select("doc_id").distinct()
 
@@ -115,7 +128,7 @@ p AS (
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_entities": p2_entities, "p4_found": p4_found, "p4_scores": p4_scores, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_links": p6_links, "p7_found": p7_found, "p9_found": p9_found, "p9_statistics": p9_statistics}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_entities": p2_entities, "p4_found": p4_found, "p4_scores": p4_scores, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_links": p6_links, "p7_found": p7_found, "p8_found": p8_found, "p8_report": p8_report, "p8_plan": p8_plan, "p9_found": p9_found, "p9_statistics": p9_statistics}
 
 
 def oracle_sql() -> dict[str, str]:
