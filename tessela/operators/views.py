@@ -45,7 +45,7 @@ def customer_summary(customers: DataFrame, orders: DataFrame, items: DataFrame,
         *customers.columns,
         F.coalesce("order_count", F.lit(0)).cast("long").alias("order_count"),
         "total_spent",
-        (F.col("total_spent") / F.col("__n")).alias("avg_order_value"),
+        (F.col("total_spent").cast("double") / F.col("__n")).alias("avg_order_value"),
         "last_order_date",
         F.coalesce("unique_products_bought", F.lit(0)).cast("long").alias("unique_products_bought"),
     )
