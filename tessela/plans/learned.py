@@ -45,7 +45,7 @@ class QueryFeatures:
         """The features' values in the order of FEATURES; empty lists count as 0, join estimates as 0.5."""
         ndv = np.log10(np.maximum(np.array(self.num_distinct_values or [1], float), 1))
         some = lambda xs, f, empty: float(f(xs)) if len(xs) else empty
-        return [
+        values = [
             math.log10(max(self.table_row_count, 1)), math.log10(max(self.table_size_mb, 0.1)),
             float(self.num_equality_predicates), float(self.num_range_predicates), float(self.num_like_predicates),
             self.min_histogram_selectivity, self.max_histogram_selectivity, self.avg_histogram_selectivity,
@@ -53,6 +53,7 @@ class QueryFeatures:
             float(ndv.mean()), float(ndv.std()), some(self.null_fraction, np.mean, 0.0), some(self.null_fraction, np.max, 0.0),
             some([float(x) for x in self.has_index], np.mean, 0.0), some(self.join_selectivity_estimates, np.mean, 0.5), some(self.join_selectivity_estimates, np.min, 0.5),
         ]
+        return [float(v) for v in values]
 
 
 def feature_columns(df: DataFrame) -> DataFrame:
