@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pickle
 import tempfile
+import uuid
 
 from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +33,24 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
+    """The table written to the shared checkpoint folder and read from there, for the steps of an iteration.
+
+    A checkpointed table keeps the optimizer's estimate of its size, which joins multiply: from step to step it squares until
+    planning stands still. A written table has the size of its files. ``instead_of`` is an earlier written table that
+    nothing refers to any more; its files are removed."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    if instead_of is not None:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(instead_of.written_path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return out
+
+
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast when a counted bound proves the side small; else leave the choice to the shuffle join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
