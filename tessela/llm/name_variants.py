@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessela.llm.cooccurrence import basket_pairs
-from tessela.runtime import checkpoint
+from tessela.runtime import checkpoint, written
 
 # Short forms of first names, as used by people, with the full forms they stand for.
 NICKNAMES = {
@@ -307,14 +307,12 @@ def link_names(df: DataFrame, id_col: str, names_col: str) -> DataFrame:
 
     scored = pairs.mapInPandas(run, "a long, b long, n_b long, cost double")
     best = scored.groupBy("a").agg(F.max_by("b", F.struct((F.log("n_b") + F.col("cost")).alias("p"), F.col("b"))).alias("b"))
-    root = checkpoint(forms.select(F.col("f").alias("a")).join(best, "a", "left").select("a", F.coalesce("b", "a").alias("b")))
+    root = written(forms.select(F.col("f").alias("a")).join(best, "a", "left").select("a", F.coalesce("b", "a").alias("b")))
     # Attributions lead to more frequent or fuller forms; following them doubles its stride until all are at their ends.
     while True:
         up = root.select(F.col("a").alias("b"), F.col("b").alias("b2"))
-        step = checkpoint(root.join(up, "b").select("a", F.col("b2").alias("b"), (F.col("b2") != F.col("b")).alias("moved")))
-        moved = step.where("moved").limit(1).count()
-        root = step.drop("moved")
-        if not moved:
+        root = written(root.join(up, "b").select("a", F.col("b2").alias("b"), (F.col("b2") != F.col("b")).alias("moved")), root)
+        if not root.where("moved").limit(1).count():
             break
     entity = root.select(F.col("a").alias("f"), F.col("b").alias("entity"))
     return named.select("name", F.xxhash64(*shape).alias("f")).join(entity, "f").select("name", "entity")
