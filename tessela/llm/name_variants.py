@@ -4,13 +4,14 @@ Strings that differ only in case, accents, titles, footnote marks, spacing, comm
 are then attributed: a frequent full form is a candidate for the forms that reach it by an abbreviation, a nickname, a dropped part or a typing
 slip. A form joins the candidate with the greatest posterior, the prior being the candidate's frequency. A slip needs a
 token that isn't established by itself: a first name seen with several surnames, or a surname seen with several first
-names, is a name of its own.
+names, is a name of its own, unless slips of a far more frequent neighbour explain how often it is seen.
 
 Candidates meet over keys (surname and first name, each with single characters left out), so nothing is compared within a block.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 
@@ -225,6 +226,30 @@ def _score(rows: pd.DataFrame) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
+def _established(tokens: DataFrame, least: int, counts: tuple[str, ...]) -> DataFrame:
+    """tokens(sort, word, d, uses) -> (sort, word) of those with d >= least, save those of which one of the counts is no more than
+    slips of a neighbour one edit away explain: a slip's share of its neighbour plus three deviations, at any size of the table."""
+    share = math.exp(_LIKELY["slip"])
+    able = tokens.where(F.col("d") >= least)
+
+    def keyed(df: DataFrame, s: str) -> DataFrame:
+        joined = F.regexp_replace("word", "-", "")
+        return df.where(F.length(joined) > 2).select("sort", *[F.col(c).alias(f"{c}_{s}") for c in ("word", "d", "uses")], joined.alias(f"joined_{s}"), F.explode(_minus(joined)).alias("key"))
+
+    met = keyed(able, "a").join(keyed(tokens, "b"), ["sort", "key"]).where("joined_a != joined_b")
+    explained = F.lit(False)
+    for c in counts:
+        slips = F.col(f"{c}_b") * F.lit(share)
+        explained = explained | (F.col(f"{c}_a") <= slips + 3 * F.sqrt(slips))
+    met = met.where((F.col("uses_b") > F.col("uses_a")) & explained).select("sort", F.col("word_a").alias("word"), "joined_a", "joined_b").distinct()
+
+    def run(batches):
+        for pdf in batches:
+            yield pdf.loc[[near(a, b) for a, b in zip(pdf["joined_a"], pdf["joined_b"])], ["sort", "word"]]
+
+    return able.select("sort", "word").join(met.mapInPandas(run, "sort string, word string").distinct(), ["sort", "word"], "left_anti")
+
+
 def _forms(strings: DataFrame) -> DataFrame:
     """strings(name, n) -> (name, n, sort, head, first, more), word order settled by how other strings use the words."""
 
@@ -258,9 +283,11 @@ def link_names(df: DataFrame, id_col: str, names_col: str) -> DataFrame:
     shape = ["sort", "head", "first", "more"]
     forms = named.groupBy(*shape).agg(F.sum("n").alias("n"))
     # Established tokens: a first name with several surnames, a surname or place with several first names or fields.
-    firsts = forms.where("sort = 'p'").groupBy("first").agg(F.count_distinct("head").alias("d")).where("d >= 4").select("first", F.lit(True).alias("own_first"))
-    heads = forms.where(F.length("first") > 1).groupBy("sort", "head").agg(F.count_distinct(F.substring("first", 1, 1)).alias("d")).where("d >= 2").select("sort", "head", F.lit(True).alias("own_head"))
-    forms = forms.join(firsts, "first", "left").join(heads, ["sort", "head"], "left")
+    firsts = forms.where("sort = 'p'").groupBy("sort", F.col("first").alias("word")).agg(F.count_distinct("head").alias("d"), F.sum("n").alias("uses"))
+    firsts = _established(firsts, 4, ("uses", "d")).select("sort", F.col("word").alias("first"), F.lit(True).alias("own_first"))
+    heads = forms.where(F.length("first") > 1).groupBy("sort", F.col("head").alias("word")).agg(F.count_distinct(F.substring("first", 1, 1)).alias("d"), F.sum("n").alias("uses"))
+    heads = _established(heads, 2, ("uses",)).select("sort", F.col("word").alias("head"), F.lit(True).alias("own_head"))
+    forms = forms.join(firsts, ["sort", "first"], "left").join(heads, ["sort", "head"], "left")
     forms = checkpoint(forms.select(F.xxhash64(*shape).alias("f"), *shape, "n", F.coalesce("own_first", F.lit(False)).alias("own_first"), F.coalesce("own_head", F.lit(False)).alias("own_head")))
     nick = F.create_map(*[x for short in sorted(_FULL) for x in (F.lit(short), F.array(*map(F.lit, sorted(_FULL[short]))))])
     wholes = F.array_union(F.array("first"), F.coalesce(F.try_element_at(nick, F.col("first")), F.array().cast("array<string>")))

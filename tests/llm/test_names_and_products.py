@@ -41,6 +41,17 @@ def test_people_and_institutions(spark):
     assert linked(spark, rows) == sorted([set(one), set(two), set(three), set(four)], key=sorted)
 
 
+def test_repeats_of_one_slip_establish_no_name(spark):
+    surnames = [f"{a}{b}" for a in ("Brunt", "Dlosk", "Frimb", "Gleph", "Krazd", "Tworm") for b in ("owiak", "itzer", "ulescu", "agnini", "endahl")]
+    right, slips = [f"Victoria {s}" for s in surnames], [f"Victoira {s}" for s in surnames[:6]]
+    own = [f"Viktoria {s}" for s in surnames]
+    family, wrong = [f"{f} Grotrekar" for f in ("Anna", "Boris", "Clara", "Victoria")], ["Anna Grotrekra", "Boris Grotrekra", "Clara Grotrekra"]
+    rows = right * 20 + slips * 2 + own * 10 + family * 100 + wrong * 2
+    expected = [{r, r.replace("Victoria", "Victoira")} if i < 6 else {r} for i, r in enumerate(right)] + [{o} for o in own]
+    expected += [{f, w} for f, w in zip(family, wrong)] + [{family[3]}]
+    assert linked(spark, rows) == sorted(expected, key=sorted)
+
+
 def test_pairs_order_and_empty(spark):
     df = spark.createDataFrame([(1, ["Anna Grotrekar", "anna grotrekar", None]), (1, ["Anna Grotrekar", "anna grotrekar", None]), (2, None), (3, [])], "id int, authors array<string>")
     assert [tuple(r) for r in nv.variant_pairs(df, "id", "authors").collect()] == [("Anna Grotrekar", "anna grotrekar")]
