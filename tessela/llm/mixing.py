@@ -120,8 +120,8 @@ def mix(
 
     targets(source, target_share, max_repeats) must be of bounded size, one row a source. report has a row for each of
     them: own_tokens, wanted_tokens (its share of the tokens of all documents with a source of the table), possible_tokens (own
-    times max_repeats), short (wanted is more than possible), mixed_tokens (what the fitted rates give, memberships of
-    unlabelled documents included) and actual_share. plan has a row for each document: tokens, rate (expected copies) and
+    times max_repeats), short (wanted is more than possible), mixed_tokens and expected_share (what the fitted rates give, memberships of
+    unlabelled documents included), actual_tokens and actual_share (what the plan's whole copies give). plan has a row for each document: tokens, rate (expected copies) and
     copies (whole, the fraction decided by the id's hash).
 
     Defined cases: a null text has no tokens; a null or foreign source makes a document unlabelled; null ids are dropped; equal ids
@@ -133,7 +133,7 @@ def mix(
     )
     goals = sorted(goals.where("source IS NOT NULL").distinct().collect(), key=lambda r: r["source"])
     spark = documents.sparkSession
-    report_schema = "source string, target_share double, max_repeats int, own_tokens long, wanted_tokens double, possible_tokens long, short boolean, mixed_tokens double, actual_share double"
+    report_schema = "source string, target_share double, max_repeats int, own_tokens long, wanted_tokens double, possible_tokens long, short boolean, mixed_tokens double, expected_share double, actual_tokens double, actual_share double"
     plan_schema = "doc_id long, source string, tokens long, rate double, copies long"
     if not goals:
         return spark.createDataFrame([], report_schema), spark.createDataFrame([], plan_schema)
@@ -157,14 +157,15 @@ def mix(
     placed = placed.withColumn("cap", F.round(_dot(repeats), 6))
     alike = placed.groupBy(*m, "cap").agg(F.sum("tokens").alias("tokens"))
     rated, totals = fit_rates(alike, targets_t)
-    mixed = sum(totals) or 1.0
+    luck = F.pmod(F.xxhash64("doc_id", F.lit("copies")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    copies = F.floor("rate") + F.when(luck < F.col("rate") - F.floor("rate"), 1).otherwise(0)
+    drawn = placed.join(rated.select(*m, "cap", "rate"), [*m, "cap"]).withColumn("copies", copies)
+    row = drawn.agg(*[F.coalesce(F.sum(F.col("copies") * F.col("tokens") * F.col(c)), F.lit(0.0)).alias(c) for c in m]).first()
+    built = [float(row[c]) for c in m]
+    mixed, whole = sum(totals) or 1.0, sum(built) or 1.0
     rows = []
-    for r, got in zip(goals, totals):
+    for r, got, real in zip(goals, totals, built):
         tokens, possible = own.get(r["source"], 0), r["repeats"] * own.get(r["source"], 0)
-        rows.append((r["source"], float(r["share"]), r["repeats"], tokens, float(r["share"] * total), possible, bool(r["share"] * total > possible), got, got / mixed))
+        rows.append((r["source"], float(r["share"]), r["repeats"], tokens, float(r["share"] * total), possible, bool(r["share"] * total > possible), got, got / mixed, real, real / whole))
     report = spark.createDataFrame(rows, report_schema)
-    luck = F.pmod(F.xxhash64("doc_id", F.lit("copies")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    plan = placed.join(rated.select(*m, "cap", "rate"), [*m, "cap"]).select(
-        "doc_id", "source", "tokens", "rate", (F.floor("rate") + F.when(luck < F.col("rate") - F.floor("rate"), 1).otherwise(0)).alias("copies")
-    )
-    return report, plan
+    return report, drawn.select("doc_id", "source", "tokens", "rate", "copies")

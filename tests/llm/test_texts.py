@@ -154,3 +154,17 @@ def test_rates_stay_in_their_bounds(spark):
     rated, totals = mixing.fit_rates(members, [150.0, 400.0])
     rows = rated.collect()
     assert all(0 <= r["rate"] <= r["cap"] for r in rows) and totals[0] == pytest.approx(150, rel=0.02) and totals[1] == pytest.approx(200, rel=0.02)
+
+
+def test_report_gives_the_shares_of_the_copies_drawn(spark):
+    from decimal import Decimal
+
+    rows = [(1, "a", " ".join(WORDS * 40))] + [(i, "b", " ".join(WORDS[:12])) for i in range(2, 82)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    report, plan = mixing.mix(docs, spark.createDataFrame([("a", Decimal("0.25"), 1), ("b", Decimal("0.75"), 3)], TARGETS))
+    got, drawn = {r["source"]: r for r in report.collect()}, plan.collect()
+    tokens = {s: sum(r["copies"] * r["tokens"] for r in drawn if r["source"] == s) for s in "ab"}
+    for s in "ab":
+        assert got[s]["actual_tokens"] == tokens[s] and got[s]["actual_share"] == pytest.approx(tokens[s] / sum(tokens.values()))
+        assert got[s]["expected_share"] == pytest.approx(got[s]["target_share"], abs=0.01)
+    assert abs(got["a"]["actual_share"] - got["a"]["expected_share"]) > 0.1
