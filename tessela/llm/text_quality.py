@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -34,8 +35,8 @@ COMMON = frozenset(
     al algo así como con cuando cual de del desde donde el ella en entre era es esta este esto está ha hasta la las le lo los me mi muy más ni no nos
     o para pero poco por porque que qué se ser si sin sobre su sus también tan te tiene todo tu un una uno y ya""".split()
 )
-_FIELDS = ("chars", "letters", "digits", "odd", "tokens", "words", "word_chars", "common", "gaps", "tabs", "pipes", "marks", "hashes", "commas", "tight", "terms", "long", "repeats", "steps", "harsh")
-CHARS, LETTERS, DIGITS, ODD, TOKENS, WORDS, WORD_CHARS, COMMONS, GAPS, TABS, PIPES, MARKS, HASHES, COMMAS, TIGHT, TERMS, LONG, REPEATS, STEPS, HARSH = range(len(_FIELDS))
+_FIELDS = ("chars", "letters", "digits", "odd", "tokens", "words", "word_chars", "common", "gaps", "tabs", "pipes", "marks", "hashes", "commas", "tight", "terms", "long", "repeats", "steps", "harsh", "other")
+CHARS, LETTERS, DIGITS, ODD, TOKENS, WORDS, WORD_CHARS, COMMONS, GAPS, TABS, PIPES, MARKS, HASHES, COMMAS, TIGHT, TERMS, LONG, REPEATS, STEPS, HARSH, OTHER = range(len(_FIELDS))
 _N = len(_FIELDS)
 KINDS = ("blank", "prose", "list", "table", "tags", "markup", "junk")
 _SUMS = ("lines", "terminal", "chars", "letters", "digits", "odd", "words", "word_chars", "common")
@@ -44,6 +45,15 @@ _TOKEN = re.compile(r"\S+")
 _GAP = re.compile(r"(?<=[^\s])[ \xa0]{3,}(?=[^\s])")
 _LETTER = re.compile(r"[^\W\d_]")
 _HARSH = re.compile(r"^[^aeiouyäöüáéíóúàèùâêîôûñçœæå]{3,}$|[bcdfghjklmnpqrstvwxz]{5}|^[bcdfghjklmnpqrstvwxz]{3}|[bcdfghjklmnpqrstvwxz]{4}$|q[^u]|.[jqvwx][bcdfghjkmnpqtvwxz]")
+
+
+def _vowel_sign(c: str) -> bool:
+    """A mark that belongs to the spelling of its script, unlike accents piled on letters."""
+    return c > "\u036f" and unicodedata.category(c) in ("Mn", "Mc")
+
+
+# A letter of another script than the Latin one.
+_OTHER = re.compile(r"[^\W\d_\u0041-\u02af\u1e00-\u1eff\uff21-\uff5a]")
 _EDGE = re.compile(r"^[^\w]+|[^\w]+$")
 _COMMON_SIGNS = frozenset(" \t\r\x0b\x0c\xa0.,;:!?'\"()[]{}<>-–—_/\\&%+*=#@$€£°’‘“”„«»…|~^`¡¿·•")
 _BULLET = re.compile(r"(?:[-*+•·▪◦‣●○■□–—✓✔➤►]|\(?\d{1,4}[.)]|\(?[a-zA-Z][.)]|\[[ xX]?\])\s")
@@ -70,7 +80,7 @@ def _fragment(t: str, s: int, e: int, first: bool) -> list:
         letters, digits = sum(map(str.isalpha, own)), sum(map(str.isdigit, own))
         n[CHARS], n[LETTERS], n[DIGITS] = len(own) - spaces, letters, digits
         if letters + digits < n[CHARS]:
-            n[ODD] = sum(1 for c in own if not c.isalnum() and not c.isspace() and c not in _COMMON_SIGNS)
+            n[ODD] = sum(1 for c in own if not c.isalnum() and not c.isspace() and c not in _COMMON_SIGNS and not _vowel_sign(c))
             n[PIPES], n[COMMAS] = own.count("|"), own.count(",")
             n[MARKS] = sum(map(own.count, '<>{}[]"'))
         end = t.find("\n", e)
@@ -91,12 +101,14 @@ def _fragment(t: str, s: int, e: int, first: bool) -> list:
                     n[HASHES] += 1
                 if "," in token[:-1]:
                     n[TIGHT] += sum(1 for a, b in zip(token, token[1:]) if a == "," and not b.isspace())
-                if token[-1] in ".!?…" or token[-2:-1] in (".", "!", "?") and token[-1] in "\"'”»)":
+                if token[-1] in ".!?…।؟" or token[-2:-1] in (".", "!", "?") and token[-1] in "\"'”»)":
                     n[TERMS] += 1
                 if _LETTER.search(bare):
                     n[WORDS] += 1
                     n[WORD_CHARS] += len(bare)
-                    if len(bare) > 1 and _HARSH.search(bare):
+                    if not bare.isascii() and _OTHER.search(bare):
+                        n[OTHER] += 1
+                    elif len(bare) > 1 and _HARSH.search(bare):
                         n[HARSH] += 1
                     if bare in COMMON or "'" in bare and bare.split("'")[0] in COMMON or "’" in bare and bare.split("’")[0] in COMMON:
                         n[COMMONS] += 1
@@ -123,6 +135,8 @@ def judge(line: list) -> int:
     if not chars:
         return 0
     share = n[COMMONS] / words if words else 0.0
+    # The common words are of Latin script; a line of other script is told by its sentence ends or, without any, by its word lengths.
+    other = n[OTHER] * 2 > words and n[COMMAS] * 3 < words and (n[TERMS] > 0 or words >= 6 and 3 * words <= n[WORD_CHARS] <= 10 * words)
     if n[ODD] > 0.15 * chars or n[LETTERS] + n[DIGITS] < 0.5 * chars and not words > 12:
         return 4 if n[HASHES] > 1 else 3 if n[PIPES] > 1 else 5 if n[MARKS] > 3 else 6
     if n[STEPS] >= 4 and n[REPEATS] > 0.6 * n[STEPS]:
@@ -131,7 +145,7 @@ def judge(line: list) -> int:
         return 6
     if _BULLET.match(head + " "):
         # A bullet before a whole sentence is a dash of speech or a numbered paragraph, not a list item.
-        return 1 if words >= 6 and share >= 0.15 and last in ".!?…\"'”»" and n[TERMS] else 2
+        return 1 if words >= 6 and (share >= 0.15 or other) and last in ".!?…\"'”»" and n[TERMS] else 2
     if n[MARKS] >= 4 and n[MARKS] > 0.06 * chars and share < 0.25:
         return 5
     if n[HASHES] >= 2 and n[HASHES] * 3 >= n[TOKENS]:
@@ -152,7 +166,7 @@ def judge(line: list) -> int:
         return 4
     if n[DIGITS] > 0.5 * chars:
         return 3
-    if words >= 4 and share < 0.1 and not (n[TERMS] and n[COMMAS] * 3 < words):
+    if words >= 4 and share < 0.1 and not other and not (n[TERMS] and n[COMMAS] * 3 < words):
         return 6
     return 1
 

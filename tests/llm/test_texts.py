@@ -168,3 +168,16 @@ def test_report_gives_the_shares_of_the_copies_drawn(spark):
         assert got[s]["actual_tokens"] == tokens[s] and got[s]["actual_share"] == pytest.approx(tokens[s] / sum(tokens.values()))
         assert got[s]["expected_share"] == pytest.approx(got[s]["target_share"], abs=0.01)
     assert abs(got["a"]["actual_share"] - got["a"]["expected_share"]) > 0.1
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["Вчера мы ездили на море, и дети весь день играли на песке.\nВечером пошёл дождь, но никто не хотел домой", "Χθες πήγαμε στη θάλασσα και τα παιδιά έπαιζαν όλη μέρα στην άμμο. Το βράδυ έβρεξε πολύ.", "ذهبنا أمس إلى البحر ولعب الأطفال طوال اليوم على الرمال.", "हम कल समुद्र के किनारे गए और बच्चे पूरे दिन रेत पर खेले।"],
+)
+def test_prose_of_other_scripts(text):
+    assert [tq.KINDS[tq.judge(tq._fragment(line, 0, len(line), True))] for line in text.split("\n")] == ["prose"] * len(text.split("\n"))
+
+
+@pytest.mark.parametrize("text", ["красный, синий, зелёный, белый, чёрный, жёлтый", "- хлеб\n- молоко", "xkjq wvbn zzrt qpfg hjkl mnbv"])
+def test_lists_of_other_scripts_and_junk_stay_no_prose(text):
+    assert all(tq.KINDS[tq.judge(tq._fragment(line, 0, len(line), True))] != "prose" for line in text.split("\n"))
