@@ -1,27 +1,40 @@
 """Per-document text statistics that tell running prose from lists, tables, markup and junk.
 
-A document is read in pieces of bounded length. Each piece yields counts that add up: totals of its closed lines by kind,
-and the open counts of its first and last line fragment. Every token belongs to the piece in which it starts, and a piece sees
-some characters beyond its edges, so the sums don't depend on where the cuts fall. Pieces of a huge document are spread over
-tasks and their counts merged by a tree of bounded fan-in; a line is judged once its counts are whole.
+A document is cut into pieces of bounded length, and each piece is counted by itself: totals of its closed lines by kind, and
+the open counts of its first and last line fragment with what a neighbour may change. Two parts add up associatively; the sum joins the
+fragments that meet, corrects what crosses the cut and judges the line once it is whole. A cut moves on to the end of
+the next blanks. Only where none are near does it go through a token, which is then longer than any that is looked up: its
+length, ends and kinds of letters travel as the open token. So every document takes one path, and the cuts change nothing.
+
+The parts of a document merge within its task; a huge document's pieces are spread over tasks and merged by a tree. All
+pieces of a batch are counted together, by arrays over their characters, tokens and lines.
 """
 
 from __future__ import annotations
 
-import json
+import marshal
 import re
 import unicodedata
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessela.runtime import checkpoint, shuffle_partitions
-
-PIECE = 200_000
-#: Characters before and after a piece that its tokens may be looked up in.
-CONTEXT = 256
-FAN_IN = 64
+from tessela.runtime import shuffle_partitions
+
+#: Characters of a piece, about.
+PIECE = 2_048
+#: A document of more characters is counted by several tasks, in stretches of this many.
+SPREAD = 1 << 20
+#: Neighbouring stretches that merge in the first level of the tree.
+FAN_IN = 8
+#: Characters within which a cut looks for blanks; longer than WORD, so a token that is cut is none that is looked up.
+REACH = 256
+#: A longer token has no common, harsh or repeated word in it.
+WORD = 64
+#: Characters of a batch that are counted at a time.
+_BLOCK = 1 << 20
 
 # Common function words of English, German, French and Spanish.
 COMMON = frozenset(
@@ -35,214 +48,488 @@ COMMON = frozenset(
     al algo así como con cuando cual de del desde donde el ella en entre era es esta este esto está ha hasta la las le lo los me mi muy más ni no nos
     o para pero poco por porque que qué se ser si sin sobre su sus también tan te tiene todo tu un una uno y ya""".split()
 )
-_FIELDS = ("chars", "letters", "digits", "odd", "tokens", "words", "word_chars", "common", "gaps", "tabs", "pipes", "marks", "hashes", "commas", "tight", "terms", "long", "repeats", "steps", "harsh", "other")
-CHARS, LETTERS, DIGITS, ODD, TOKENS, WORDS, WORD_CHARS, COMMONS, GAPS, TABS, PIPES, MARKS, HASHES, COMMAS, TIGHT, TERMS, LONG, REPEATS, STEPS, HARSH, OTHER = range(len(_FIELDS))
+_FIELDS = ("chars", "letters", "digits", "odd", "tokens", "words", "word_chars", "common", "gaps", "tabs", "pipes", "marks", "hashes", "commas", "tight", "terms", "long", "repeats", "bares", "harsh", "other")
+CHARS, LETTERS, DIGITS, ODD, TOKENS, WORDS, WORD_CHARS, COMMONS, GAPS, TABS, PIPES, MARKS, HASHES, COMMAS, TIGHT, TERMS, LONG, REPEATS, BARES, HARSH, OTHER = range(len(_FIELDS))
 _N = len(_FIELDS)
 KINDS = ("blank", "prose", "list", "table", "tags", "markup", "junk")
-_SUMS = ("lines", "terminal", "chars", "letters", "digits", "odd", "words", "word_chars", "common")
-
-_TOKEN = re.compile(r"\S+")
-_GAP = re.compile(r"(?<=[^\s])[ \xa0]{3,}(?=[^\s])")
-_LETTER = re.compile(r"[^\W\d_]")
-_HARSH = re.compile(r"^[^aeiouyäöüáéíóúàèùâêîôûñçœæå]{3,}$|[bcdfghjklmnpqrstvwxz]{5}|^[bcdfghjklmnpqrstvwxz]{3}|[bcdfghjklmnpqrstvwxz]{4}$|q[^u]|.[jqvwx][bcdfghjkmnpqtvwxz]")
-
-
-def _vowel_sign(c: str) -> bool:
-    """A mark that belongs to the spelling of its script, unlike accents piled on letters."""
-    return c > "\u036f" and unicodedata.category(c) in ("Mn", "Mc")
+BLANK, PROSE, LIST, TABLE, TAGS, MARKUP, JUNK = range(len(KINDS))
+#: What is added up for each kind of line.
+_SUMMED = (CHARS, LETTERS, DIGITS, ODD, WORDS, WORD_CHARS, COMMONS)
+_HEAD = 24
+_BACK = 4
 
-
-# A letter of another script than the Latin one.
-_OTHER = re.compile(r"[^\W\d_\u0041-\u02af\u1e00-\u1eff\uff21-\uff5a]")
-_EDGE = re.compile(r"^[^\w]+|[^\w]+$")
 _COMMON_SIGNS = frozenset(" \t\r\x0b\x0c\xa0.,;:!?'\"()[]{}<>-–—_/\\&%+*=#@$€£°’‘“”„«»…|~^`¡¿·•")
 _BULLET = re.compile(r"(?:[-*+•·▪◦‣●○■□–—✓✔➤►]|\(?\d{1,4}[.)]|\(?[a-zA-Z][.)]|\[[ xX]?\])\s")
 _PAIR = re.compile(r"[\w ()./-]{1,24}?\s?[:=]\s?\S")
 _STAMP = re.compile(r"\[?\d{4}-\d\d-\d\d|\d\d:\d\d:\d\d")
 _TERMINAL = frozenset(".!?…。！？:\"'”»)")
+_STOP, _SOFT_STOP, _QUOTE = ".!?…।؟", ".!?", "\"'”»)"
+_VOWELS, _CONSONANTS = "aeiouyäöüáéíóúàèùâêîôûñçœæå", "bcdfghjklmnpqrstvwxz"
+
+# Classes of characters, as bits.
+_BITS = ("space", "impure", "alpha", "digit", "word", "letter", "odd", "mark", "vowel", "consonant", "rare", "after_rare", "other", "stop", "soft", "quote")
+SPACE, IMPURE, ALPHA, DIGIT, WORDCHAR, LETTER, STRANGE, MARK, VOWEL, CONSONANT, RARE, AFTER_RARE, FOREIGN, STOP, SOFT, QUOTE = (1 << i for i in range(len(_BITS)))
+
+
+def _class(c: str) -> int:
+    low = c.lower()
+    word = c.isalnum() or c == "_"
+    letter = c.isalnum() and not c.isdecimal()
+    # A mark that belongs to the spelling of its script, unlike accents piled on letters.
+    spelled = c > "\u036f" and unicodedata.category(c) in ("Mn", "Mc")
+    latin = "\u0041" <= c <= "\u02af" or "\u1e00" <= c <= "\u1eff" or "\uff21" <= c <= "\uff5a"
+    told = (
+        c.isspace(), c.isspace() and c not in " \xa0", c.isalpha(), c.isdigit(), word, letter, not (c.isalnum() or c.isspace() or c in _COMMON_SIGNS or spelled), c in '<>{}[]"',
+        low in _VOWELS, low in _CONSONANTS, low in "jqvwx", low in "bcdfghjkmnpqtvwxz", letter and not latin, c in _STOP, c in _SOFT_STOP, c in _QUOTE,
+    )
+    return sum(1 << i for i, x in enumerate(told) if x)
+
+
+def _lower(c: str) -> int:
+    low = c.lower()
+    return ord(low) if len(low) == 1 else ord(c)
+
+
+_LOW = 0x2100
+_CLASSES = np.array([_class(chr(i)) for i in range(_LOW)], np.uint16)
+_LOWER = np.array([_lower(chr(i)) for i in range(_LOW)], np.uint32)
+_POWERS = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(WORD)], np.uint64)
+
 
+def _classified(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(classes, lower case) of code points; those beyond the table are looked up once each."""
+    high = np.flatnonzero(codes >= _LOW)
+    near = codes if not len(high) else np.minimum(codes, _LOW - 1)
+    classes, lower = _CLASSES[near], _LOWER[near]
+    if len(high):
+        kinds, place = np.unique(codes[high], return_inverse=True)
+        chars = [chr(k) for k in kinds.tolist()]
+        classes[high] = np.array([_class(c) for c in chars], np.uint16)[place]
+        lower[high] = np.array([_lower(c) for c in chars], np.uint32)[place]
+    return classes, lower
 
-def _fragment(t: str, s: int, e: int, first: bool) -> list:
-    """Counts of t[s:e], part of one line; tokens that start before s belong to another piece. first: the line starts at s."""
-    own = t[s:e]
-    n = [0] * _N
-    body = own.strip()
-    if "\t" in own:
-        n[TABS] = own.count("\t")
-    if " " in own or "\xa0" in own:
-        end = t.find("\n", e)
-        end = len(t) if end < 0 else end
-        if "  " in t[s : min(end, e + 3)]:
-            at = t.rfind("\n", 0, s) + 1
-            n[GAPS] = sum(1 for m in _GAP.finditer(t, at, end) if s <= m.start() < e)
-    if body:
-        spaces = sum(map(str.isspace, own))
-        letters, digits = sum(map(str.isalpha, own)), sum(map(str.isdigit, own))
-        n[CHARS], n[LETTERS], n[DIGITS] = len(own) - spaces, letters, digits
-        if letters + digits < n[CHARS]:
-            n[ODD] = sum(1 for c in own if not c.isalnum() and not c.isspace() and c not in _COMMON_SIGNS and not _vowel_sign(c))
-            n[PIPES], n[COMMAS] = own.count("|"), own.count(",")
-            n[MARKS] = sum(map(own.count, '<>{}[]"'))
-        end = t.find("\n", e)
-        end = len(t) if end < 0 else end
-        line = t.rfind("\n", 0, s) + 1
-        recent = ["", "", "", ""]
-        for m in _TOKEN.finditer(t, line if line < s else s, end):
-            at = m.start()
-            if at >= e:
-                break
-            token = m.group()
-            bare = _EDGE.sub("", token).lower()
-            if at >= s:
-                n[TOKENS] += 1
-                if len(token) > 25:
-                    n[LONG] += 1
-                if token[0] == "#" and len(token) > 1 and token[1].isalpha():
-                    n[HASHES] += 1
-                if "," in token[:-1]:
-                    n[TIGHT] += sum(1 for a, b in zip(token, token[1:]) if a == "," and not b.isspace())
-                if token[-1] in ".!?…।؟" or token[-2:-1] in (".", "!", "?") and token[-1] in "\"'”»)":
-                    n[TERMS] += 1
-                if _LETTER.search(bare):
-                    n[WORDS] += 1
-                    n[WORD_CHARS] += len(bare)
-                    if not bare.isascii() and _OTHER.search(bare):
-                        n[OTHER] += 1
-                    elif len(bare) > 1 and _HARSH.search(bare):
-                        n[HARSH] += 1
-                    if bare in COMMON or "'" in bare and bare.split("'")[0] in COMMON or "’" in bare and bare.split("’")[0] in COMMON:
-                        n[COMMONS] += 1
-                if recent[-1]:
-                    n[STEPS] += 1
-                    if bare in recent:
-                        n[REPEATS] += 1
-            recent = [*recent[1:], bare] if bare else recent
-    head = own.lstrip() if first else (" " + own.lstrip() if own[:1].isspace() else own)
-    return [n, head[:24], body[-1:]]
-
-
-def _join(a: list, b: list) -> list:
-    head = a[1]
-    if len(head) < 24:
-        head = ((head + b[1]).lstrip() if not head.strip() else head + b[1])[:24]
-    return [[x + y for x, y in zip(a[0], b[0])], head, b[2] or a[2]]
-
-
-def judge(line: list) -> int:
-    """The kind of a whole line from its counts, its first characters and its last one; an index of KINDS."""
-    n, head, last = line
-    chars, words = n[CHARS], n[WORDS]
-    if not chars:
-        return 0
-    share = n[COMMONS] / words if words else 0.0
+
+def _word_hash(word: str) -> int:
+    return sum(ord(c) * int(_POWERS[i]) for i, c in enumerate(word)) % (1 << 64)
+
+
+_COMMON_HASHES = np.sort(np.array([_word_hash(w) for w in COMMON], np.uint64))
+
+
+def _is_common(hashes: np.ndarray) -> np.ndarray:
+    at = np.minimum(np.searchsorted(_COMMON_HASHES, hashes), len(_COMMON_HASHES) - 1)
+    return _COMMON_HASHES[at] == hashes
+
+
+def judge(n: np.ndarray, heads: list[str], lasts: list[str]) -> np.ndarray:
+    """The kinds of whole lines from their counts, a row for each, their first characters and their last ones."""
+    n = np.asarray(n, np.int64)
+    kind = np.full(len(n), -1)
+    chars, words, tokens, terms = n[:, CHARS], n[:, WORDS], n[:, TOKENS], n[:, TERMS]
+    share = n[:, COMMONS] / np.maximum(words, 1)
+    steps = np.maximum(n[:, BARES] - 1, 0)
     # The common words are of Latin script; a line of other script is told by its sentence ends or, without any, by its word lengths.
-    other = n[OTHER] * 2 > words and n[COMMAS] * 3 < words and (n[TERMS] > 0 or words >= 6 and 3 * words <= n[WORD_CHARS] <= 10 * words)
-    if n[ODD] > 0.15 * chars or n[LETTERS] + n[DIGITS] < 0.5 * chars and not words > 12:
-        return 4 if n[HASHES] > 1 else 3 if n[PIPES] > 1 else 5 if n[MARKS] > 3 else 6
-    if n[STEPS] >= 4 and n[REPEATS] > 0.6 * n[STEPS]:
-        return 6
-    if words >= 4 and n[HARSH] * 5 >= words * 2 and share < 0.3:
-        return 6
-    if _BULLET.match(head + " "):
-        # A bullet before a whole sentence is a dash of speech or a numbered paragraph, not a list item.
-        return 1 if words >= 6 and (share >= 0.15 or other) and last in ".!?…\"'”»" and n[TERMS] else 2
-    if n[MARKS] >= 4 and n[MARKS] > 0.06 * chars and share < 0.25:
-        return 5
-    if n[HASHES] >= 2 and n[HASHES] * 3 >= n[TOKENS]:
-        return 4
-    if n[PIPES] >= 2 or n[TABS] >= 1 and n[TABS] * 6 >= n[TOKENS] or n[PIPES] and share < 0.25:
-        return 3
-    if n[GAPS] and n[GAPS] * 8 >= n[TOKENS]:
-        return 3
-    if _STAMP.match(head) and share < 0.2:
-        return 3
-    if n[TIGHT] >= 3 and n[TIGHT] * 2 >= n[TOKENS]:
-        return 3
-    if n[LONG] and n[LONG] * 4 >= n[TOKENS]:
-        return 6
-    if words <= 5 and _PAIR.match(head) and last not in ".!?" and n[TERMS] == 0:
-        return 3
-    if words >= 4 and n[COMMAS] * 3 >= words * 2 and share < 0.25:
-        return 4
-    if n[DIGITS] > 0.5 * chars:
-        return 3
-    if words >= 4 and share < 0.1 and not other and not (n[TERMS] and n[COMMAS] * 3 < words):
-        return 6
-    return 1
+    other = (n[:, OTHER] * 2 > words) & (n[:, COMMAS] * 3 < words) & ((terms > 0) | (words >= 6) & (3 * words <= n[:, WORD_CHARS]) & (n[:, WORD_CHARS] <= 10 * words))
+
+    def put(where: np.ndarray, what) -> None:
+        where = where & (kind < 0)
+        kind[where] = what[where] if isinstance(what, np.ndarray) else what
+
+    def matching(pattern: re.Pattern, where: np.ndarray, end: str = "") -> np.ndarray:
+        out = np.zeros(len(n), bool)
+        for i in np.flatnonzero(where & (kind < 0)).tolist():
+            out[i] = pattern.match(heads[i] + end) is not None
+        return out
+
+    put(chars == 0, BLANK)
+    odd = (n[:, ODD] > 0.15 * chars) | (n[:, LETTERS] + n[:, DIGITS] < 0.5 * chars) & (words <= 12)
+    put(odd, np.where(n[:, HASHES] > 1, TAGS, np.where(n[:, PIPES] > 1, TABLE, np.where(n[:, MARKS] > 3, MARKUP, JUNK))))
+    put((steps >= 4) & (n[:, REPEATS] > 0.6 * steps), JUNK)
+    put((words >= 4) & (n[:, HARSH] * 5 >= words * 2) & (share < 0.3), JUNK)
+    bullet = matching(_BULLET, np.ones(len(n), bool), " ")
+    # A bullet before a whole sentence is a dash of speech or a numbered paragraph, not a list item.
+    sentence = (words >= 6) & ((share >= 0.15) | other) & (terms > 0) & np.array([c in ".!?…\"'”»" for c in lasts], bool)
+    put(bullet, np.where(sentence, PROSE, LIST))
+    put((n[:, MARKS] >= 4) & (n[:, MARKS] > 0.06 * chars) & (share < 0.25), MARKUP)
+    put((n[:, HASHES] >= 2) & (n[:, HASHES] * 3 >= tokens), TAGS)
+    put((n[:, PIPES] >= 2) | (n[:, TABS] >= 1) & (n[:, TABS] * 6 >= tokens) | (n[:, PIPES] > 0) & (share < 0.25), TABLE)
+    put((n[:, GAPS] > 0) & (n[:, GAPS] * 8 >= tokens), TABLE)
+    put(matching(_STAMP, share < 0.2), TABLE)
+    put((n[:, TIGHT] >= 3) & (n[:, TIGHT] * 2 >= tokens), TABLE)
+    put((n[:, LONG] > 0) & (n[:, LONG] * 4 >= tokens), JUNK)
+    put(matching(_PAIR, (words <= 5) & (terms == 0) & np.array([c not in ".!?" for c in lasts], bool)), TABLE)
+    put((words >= 4) & (n[:, COMMAS] * 3 >= words * 2) & (share < 0.25), TAGS)
+    put(n[:, DIGITS] > 0.5 * chars, TABLE)
+    put((words >= 4) & (share < 0.1) & ~other & ~((terms > 0) & (n[:, COMMAS] * 3 < words)), JUNK)
+    put(kind < 0, PROSE)
+    return kind
+
+
+class Token:
+    """A token that a cut goes through: length, its first two and last two characters, the characters before its first and after its last
+    word character (length, if it has none), and whether it has letters and letters of another script."""
+
+    def __init__(self, length, first, last, lead, trail, letter, other):
+        self.state = (length, first, last, lead, trail, letter, other)
+
+    def __add__(self, more: Token) -> Token:
+        (n, a, z, lead, trail, letter, other), (m, b, y, lead2, trail2, letter2, other2) = self.state, more.state
+        return Token(n + m, (a + b)[:2], (z + y)[-2:], lead if lead < n else n + lead2, trail2 if trail2 < m else m + trail, letter or letter2, other or other2)
+
+
+class Fragment:
+    """Counts of a stretch of one line and what its neighbours may change: n, the raw and the stripped beginning, the last character, the blanks
+    at both ends (length, only blanks), the first four words with whether they repeat one before, the last four, and the cut tokens."""
+
+    __slots__ = ("n", "raw", "head", "last", "before", "behind", "first", "back", "left", "right", "single")
+
+    def __init__(self, n, raw="", head="", last="", before=(0, True), behind=(0, True), first=(), back=(), left=None, right=None, single=False):
+        self.n, self.raw, self.head, self.last, self.before, self.behind = n, raw, head, last, before, behind
+        self.first, self.back, self.left, self.right, self.single = list(first), list(back), left, right, single
+
+    def __add__(self, more: Fragment) -> Fragment:
+        n = [x + y for x, y in zip(self.n, more.n)]
+        raw = (self.raw + more.raw)[:_HEAD]
+        head = (self.head + more.raw)[:_HEAD] if self.last else more.head
+        out = Fragment(n, raw, head, more.last or self.last)
+        middle: list = []
+        if self.right is not None and more.left is not None:
+            token = self.right + more.left
+            if self.right.state[2][-1:] == ",":
+                n[TIGHT] += 1
+            if self.single:
+                out.left, out.single = token, more.single
+                out.right = token if more.single else more.right
+            elif more.single:
+                out.left, out.right = self.left, token
+            else:
+                out.left, out.right = self.left, more.right
+                middle = self._close(n, token)
+            out.before, out.behind = self.before, more.behind
+        else:
+            out.left, out.right, out.single = self.left, more.right, self.single and not more.raw or more.single and not self.raw
+            met = (min(_HEAD, self.behind[0] + more.before[0]), self.behind[1] and more.before[1])
+            if self.last and more.last:
+                n[GAPS] += int(met[0] >= 3 and met[1])
+                out.before, out.behind = self.before, more.behind
+            else:
+                out.before, out.behind = (self.before if self.last else met), (more.behind if more.last else met)
+        back = [*self.back, *middle]
+        first = []
+        for i, (h, repeats) in enumerate(more.first):
+            if not repeats and h is not None and h in back[max(0, len(back) - (_BACK - i)) :]:
+                n[REPEATS] += 1
+                repeats = True
+            first.append((h, repeats))
+        out.first = [*self.first, *[(h, False) for h in middle], *first][:_BACK]
+        out.back = [*back, *more.back][-_BACK:]
+        return out
+
+    @staticmethod
+    def _close(n: list, token: Token) -> list:
+        """Counts a cut token that has become whole; the word that it is, if it is one, equals no other."""
+        length, first, last, lead, trail, letter, other = token.state
+        n[TOKENS] += 1
+        n[LONG] += 1
+        n[HASHES] += int(first[0] == "#" and first[1:2].isalpha())
+        n[TERMS] += int(last[-1] in _STOP or last[-2:-1] in tuple(_SOFT_STOP) and last[-1] in _QUOTE)
+        if letter:
+            n[WORDS] += 1
+            n[WORD_CHARS] += length - lead - trail
+            n[OTHER] += int(other)
+        if lead == length:
+            return []
+        n[BARES] += 1
+        return [None]
+
+    def dump(self) -> tuple:
+        return (self.n, self.raw, self.head, self.last, self.before, self.behind, self.first, self.back, self.left and self.left.state, self.right and self.right.state, self.single)
+
+    @staticmethod
+    def load(t: tuple) -> Fragment:
+        return Fragment(*t[:8], t[8] and Token(*t[8]), t[9] and Token(*t[9]), t[10])
 
 
 class Part:
-    """Counts of a stretch of a document: open head and tail fragments and, between them, sums by kind of closed lines."""
+    """Counts of a stretch of a document: open head and tail fragments and, between them, sums by kind of closed lines. tail is None
+    as long as there is no line break."""
 
-    def __init__(self, head, tail=None, sums=None):
-        self.head, self.tail, self.sums = head, tail, sums or [[0] * len(_SUMS) for _ in KINDS]
+    def __init__(self, head: Fragment, tail: Fragment | None = None, sums: np.ndarray | None = None):
+        self.head, self.tail, self.sums = head, tail, np.zeros((len(KINDS), 2 + len(_SUMMED)), np.int64) if sums is None else sums
 
-    def close(self, line: list) -> None:
-        n, kind = line[0], judge(line)
-        for i, v in enumerate((1, int(line[2] in _TERMINAL and line[2] != ""), n[CHARS], n[LETTERS], n[DIGITS], n[ODD], n[WORDS], n[WORD_CHARS], n[COMMONS])):
-            self.sums[kind][i] += v
+    @staticmethod
+    def _closed(sums: np.ndarray, lines: list[Fragment]) -> np.ndarray:
+        out = sums.copy()
+        kinds = judge(np.array([x.n for x in lines]), [x.head for x in lines], [x.last for x in lines])
+        for x, kind in zip(lines, kinds.tolist()):
+            out[kind] += [1, int(x.last in _TERMINAL), *[x.n[f] for f in _SUMMED]]
+        return out
 
     def __add__(self, other: Part) -> Part:
-        out = Part(self.head, self.tail, [[x + y for x, y in zip(a, b)] for a, b in zip(self.sums, other.sums)])
-        middle = _join(self.head if self.tail is None else self.tail, other.head)
+        sums = self.sums + other.sums
         if self.tail is None:
-            out.head = middle
-            out.tail = other.tail
-        elif other.tail is None:
-            out.tail = middle
-        else:
-            out.close(middle)
-            out.tail = other.tail
-        return out
+            return Part(self.head + other.head, other.tail, sums)
+        middle = self.tail + other.head
+        if other.tail is None:
+            return Part(self.head, middle, sums)
+        return Part(self.head, other.tail, self._closed(sums, [middle]))
 
-    def finish(self) -> list[list[int]]:
-        done = Part(None, None, [list(x) for x in self.sums])
-        for line in (self.head, self.tail):
-            if line is not None:
-                done.close(line)
-        return done.sums
+    def finish(self) -> np.ndarray:
+        return self._closed(self.sums, [x for x in (self.head, self.tail) if x is not None])
 
-    def dump(self) -> str:
-        return json.dumps([self.head, self.tail, self.sums])
+    def dump(self) -> bytes:
+        return marshal.dumps((self.head.dump(), self.tail and self.tail.dump(), self.sums.tolist()))
 
     @staticmethod
-    def load(s: str) -> Part:
-        return Part(*json.loads(s))
-
-
-def scan(t: str, start: int, stop: int, first: bool = True) -> Part:
-    """Counts of t[start:stop]; what lies around it is context. first: a line starts at start."""
-    part = None
-    at = start
-    while True:
-        cut = t.find("\n", at, stop)
-        e = stop if cut < 0 else cut
-        line = _fragment(t, at, e, first or at > start)
-        if part is None:
-            part = Part(line)
-        else:
-            if part.tail is not None:
-                part.close(part.tail)
-            part.tail = line
-        if cut < 0:
-            return part
-        at = cut + 1
+    def load(b: bytes) -> Part:
+        head, tail, sums = marshal.loads(b)
+        return Part(Fragment.load(head), tail and Fragment.load(tail), np.array(sums, np.int64))
+
+
+def merge(parts: list[Part]) -> Part:
+    """The sum of neighbouring parts, by halves."""
+    while len(parts) > 1:
+        parts = [parts[i] if i + 1 == len(parts) else parts[i] + parts[i + 1] for i in range(0, len(parts), 2)]
+    return parts[0]
+
+
+def cuts(text: str, piece: int, reach: int = REACH) -> list[int]:
+    """Where the pieces of a text begin and, at last, its length."""
+    blanks = re.compile(r"\S{0,%d}\s{0,%d}" % (reach, reach))
+    out, at = [0], piece
+    while at < len(text):
+        end = blanks.match(text, at).end()
+        if end >= len(text):
+            break
+        out.append(end)
+        at = max(end, at) + piece
+    return [*out, len(text)]
+
+
+def count(pieces: list[tuple[str, bool, bool, bool]]) -> tuple[np.ndarray, list[Part | None]]:
+    """(piece, whole, cut on the left, cut on the right) -> (sums by kind of the whole ones, parts of the others).
+
+    whole: the piece is a document. A cut is one that goes through a token."""
+    text = "\n".join([p[0] for p in pieces]) + "\n"
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    classes, lower = _classified(codes)
+    ends = np.flatnonzero(codes == 10)
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    lines = len(ends)
+    size = np.array([len(p[0]) for p in pieces], np.int64)
+    begin = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
+    of_piece = np.searchsorted(begin, starts, "right") - 1
+
+    n = np.zeros((lines, _N), np.int64)
+    solid = (classes & SPACE) == 0
+    for field, mask in ((CHARS, solid), (LETTERS, (classes & ALPHA) > 0), (DIGITS, (classes & DIGIT) > 0)):
+        n[:, field] = np.add.reduceat(mask.view(np.uint8), starts, dtype=np.int64)
+
+    def per_line(where: np.ndarray) -> np.ndarray:
+        return np.bincount(np.searchsorted(starts, where, "right") - 1, minlength=lines)
+
+    comma = codes == 44
+    for field, mask in ((ODD, (classes & STRANGE) > 0), (MARKS, (classes & MARK) > 0), (TABS, codes == 9), (PIPES, codes == 124), (COMMAS, comma), (TIGHT, comma & np.append(solid[1:], False))):
+        n[:, field] = per_line(np.flatnonzero(mask))
+
+    edge = np.diff(np.concatenate([[0], solid.view(np.int8), [0]]))
+    ts, te = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    line = np.searchsorted(starts, ts, "right") - 1
+    word_at = np.flatnonzero(classes & WORDCHAR)
+    lo, hi = np.searchsorted(word_at, ts), np.searchsorted(word_at, te)
+    bare = hi > lo
+    b0 = np.where(bare, np.append(word_at, 0)[np.minimum(lo, len(word_at))], te)
+    b1 = np.where(bare, np.append(word_at, 0)[np.maximum(hi - 1, 0)] + 1, te)
+
+    def holds(bit: int) -> np.ndarray:
+        at = np.flatnonzero(classes & bit)
+        return np.searchsorted(at, te) > np.searchsorted(at, ts)
+
+    letter, foreign = holds(LETTER), holds(FOREIGN)
+    cut_left, cut_right = np.zeros(len(ts), bool), np.zeros(len(ts), bool)
+    open_left = [i for i, p in enumerate(pieces) if p[2] and p[0]]
+    open_right = [i for i, p in enumerate(pieces) if p[3] and p[0]]
+    cut_left[np.searchsorted(ts, begin[open_left])] = True
+    cut_right[np.searchsorted(te, (begin + size)[open_right])] = True
+    closed = ~(cut_left | cut_right)
+
+    def tally(field: int, mask: np.ndarray, weight: np.ndarray | None = None) -> None:
+        where = np.flatnonzero(mask & closed)
+        n[:, field] += np.bincount(line[where], None if weight is None else weight[where], minlength=lines).astype(np.int64)
+
+    length = te - ts
+    last, second = classes[te - 1], np.where(length > 1, classes[np.maximum(te - 2, 0)], 0)
+    every = np.ones(len(ts), bool)
+    tally(TOKENS, every)
+    tally(LONG, length > 25)
+    tally(HASHES, (codes[ts] == 35) & (length > 1) & ((classes[np.minimum(ts + 1, len(codes) - 1)] & ALPHA) > 0))
+    tally(TERMS, ((last & STOP) > 0) | ((second & SOFT) > 0) & ((last & QUOTE) > 0))
+    tally(WORDS, letter)
+    tally(WORD_CHARS, letter, b1 - b0)
+    tally(BARES, bare)
+    tally(OTHER, letter & foreign)
+
+    # The words that are looked up: their characters side by side, with running sums of hashes.
+    short = np.flatnonzero(bare & closed & (b1 - b0 <= WORD))
+    size_w = (b1 - b0)[short]
+    first = np.cumsum(size_w) - size_w
+    owner = np.repeat(np.arange(len(short)), size_w)
+    pos = np.arange(len(owner)) - first[owner]
+    flat = b0[short][owner] + pos
+    c, low = classes[flat], lower[flat]
+    running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(low.astype(np.uint64) * _POWERS[pos], dtype=np.uint64)])
+    hashes = running[first + size_w] - running[first]
+    common = _is_common(hashes)
+    mark = np.flatnonzero((low == 39) | (low == 8217))
+    if len(mark):
+        which, at = np.unique(owner[mark], return_index=True)
+        common[which] |= _is_common(running[mark[at]] - running[first[which]])
+    tally(COMMONS, _spread(common, short, len(ts)) & letter)
+    consonant = (c & CONSONANT) > 0
+    left = size_w[owner] - pos
+    harsh = (size_w >= 3) & (np.bincount(owner[(c & VOWEL) > 0], minlength=len(short)) == 0)
+
+    def follow(k: int) -> np.ndarray:
+        """Where k consonants of one word begin."""
+        run = consonant & (left >= k)
+        for i in range(1, k):
+            run[: max(0, len(run) - i)] &= consonant[i:]
+        return run
+
+    three = follow(3)
+    four = follow(4)
+    five = follow(5)
+    q = np.flatnonzero((low == 113) & (left >= 2))
+    rare = np.flatnonzero(((c & RARE) > 0) & (pos >= 1) & (left >= 2))
+    for where in (np.flatnonzero(five), np.flatnonzero(three & (pos == 0)), np.flatnonzero(four & (left == 4)), q[low[q + 1] != 117] if len(q) else q, rare[(c[rare + 1] & AFTER_RARE) > 0] if len(rare) else rare):
+        harsh[owner[where]] = True
+    tally(HARSH, _spread(harsh & (size_w > 1), short, len(ts)) & letter & ~foreign)
+
+    # Words in their order, for repeats; one that is too long to be looked up equals none.
+    seq = np.flatnonzero(bare & closed)
+    value = np.zeros(len(ts), np.uint64)
+    value[short] = hashes
+    known = np.zeros(len(ts), bool)
+    known[short] = True
+    v, ln, fine = value[seq], line[seq], known[seq]
+    repeat = np.zeros(len(seq), bool)
+    for back in range(1, _BACK + 1):
+        if len(seq) > back:
+            repeat[back:] |= (v[back:] == v[:-back]) & (ln[back:] == ln[:-back]) & fine[back:] & fine[:-back]
+    n[:, REPEATS] = np.bincount(ln[repeat], minlength=lines)
+    impure = np.flatnonzero((classes & IMPURE) > 0)
+    if len(ts) > 1:
+        wide = (line[1:] == line[:-1]) & (ts[1:] - te[:-1] >= 3)
+        at = np.flatnonzero(wide)
+        at = at[np.searchsorted(impure, ts[at + 1]) == np.searchsorted(impure, te[at])]
+        n[:, GAPS] = np.bincount(line[at], minlength=lines)
+
+    t0, t1 = np.searchsorted(line, np.arange(lines)), np.searchsorted(line, np.arange(lines), "right")
+    filled = t1 > t0
+    front = np.where(filled, np.append(ts, 0)[np.minimum(t0, len(ts))], ends)
+    final = np.where(filled, np.append(te, 1)[np.maximum(t1 - 1, 0)] - 1, 0)
+    heads = [text[a : min(a + _HEAD, b)] for a, b in zip(front.tolist(), ends.tolist())]
+    lasts = [text[a] if f else "" for a, f in zip(final.tolist(), filled.tolist())]
+
+    whole = np.array([p[1] for p in pieces], bool)
+    edge_line = np.zeros(lines, bool)
+    line0, line1 = np.searchsorted(of_piece, np.arange(len(pieces))), np.searchsorted(of_piece, np.arange(len(pieces)), "right") - 1
+    edge_line[line0[~whole]] = edge_line[line1[~whole]] = True
+    inner = np.flatnonzero(~edge_line)
+    kinds = judge(n[inner], [heads[i] for i in inner], [lasts[i] for i in inner])
+    cell = of_piece[inner] * len(KINDS) + kinds
+    sums = np.zeros((len(pieces) * len(KINDS), 2 + len(_SUMMED)), np.int64)
+    sums[:, 0] = np.bincount(cell, minlength=len(sums))
+    sums[:, 1] = np.bincount(cell[[lasts[i] in _TERMINAL for i in inner]] if len(inner) else cell, minlength=len(sums))
+    for i, field in enumerate(_SUMMED):
+        sums[:, 2 + i] = np.bincount(cell, n[inner, field], minlength=len(sums)).astype(np.int64)
+    sums = sums.reshape(len(pieces), len(KINDS), 2 + len(_SUMMED))
+
+    def token(i: int) -> Token:
+        a, b = int(ts[i]), int(te[i])
+        return Token(b - a, text[a : min(b, a + 2)], text[max(a, b - 2) : b], int(b0[i]) - a if bare[i] else b - a, b - int(b1[i]) if bare[i] else b - a, bool(letter[i]), bool(letter[i] and foreign[i]))
+
+    def blanks(a: int, b: int) -> tuple[int, bool]:
+        return min(_HEAD, b - a), bool(np.searchsorted(impure, a) == np.searchsorted(impure, b))
+
+    def fragment(i: int) -> Fragment:
+        a, b, f = int(starts[i]), int(ends[i]), bool(filled[i])
+        s, e = int(np.searchsorted(ln, i)), int(np.searchsorted(ln, i, "right"))
+        word = lambda j: int(v[j]) if fine[j] else None
+        out = Fragment(
+            n[i].tolist(), text[a : min(a + _HEAD, b)], heads[i], lasts[i], blanks(a, int(front[i]) if f else b), blanks(int(final[i]) + 1 if f else a, b),
+            [(word(j), bool(repeat[j])) for j in range(s, min(e, s + _BACK))], [word(j) for j in range(max(s, e - _BACK), e)],
+        )
+        if f:
+            x, y = int(t0[i]), int(t1[i]) - 1
+            out.left = token(x) if cut_left[x] else None
+            out.right = token(y) if cut_right[y] else None
+            out.single = out.left is not None and out.right is not None and x == y
+        return out
 
+    parts = [None if p[1] else Part(fragment(a), None if a == b else fragment(b), sums[i]) for i, (p, a, b) in enumerate(zip(pieces, line0.tolist(), line1.tolist()))]
+    return sums, parts
+
+
+def _spread(values: np.ndarray, where: np.ndarray, size: int) -> np.ndarray:
+    out = np.zeros(size, bool)
+    out[where] = values
+    return out
 
-_OUT = "doc_id long, n_chars long, n_lines long, n_words long, mean_word_length double, symbol_ratio double, terminal_share double, common_share double, " + ", ".join(
-    f"{k}_share double" for k in KINDS[1:]
-)
 
+def cut_pieces(text: str, piece: int, reach: int = REACH) -> list[tuple[str, bool, bool, bool]]:
+    at = cuts(text, piece, reach)
+    if len(at) == 2:
+        return [(text, True, False, False)]
+    through = [False, *[not text[x - 1].isspace() and not text[x].isspace() for x in at[1:-1]], False]
+    return [(text[a:b], False, through[i], through[i + 1]) for i, (a, b) in enumerate(zip(at, at[1:]))]
 
-def _row(doc, sums: list[list[int]]) -> tuple:
-    total = [sum(c) for c in zip(*sums)]
-    lines, terminal, chars, letters, digits, odd, words, word_chars, common = total
-    lines -= sums[0][0]
-    ratio = lambda a, b: a / b if b else 0.0
-    return (doc, chars, lines, words, ratio(word_chars, words), ratio(chars - letters - digits, chars), ratio(terminal, lines), ratio(common, words), *(ratio(s[2], chars) for s in sums[1:]))
 
+def count_texts(texts: list[str], piece: int = PIECE, reach: int = REACH) -> list[np.ndarray]:
+    """Sums by kind of each text; a text of several pieces is merged from its parts."""
+    out, held, size = [], [], 0
 
-def quality(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", piece: int = PIECE) -> DataFrame:
+    def flush() -> None:
+        sums, parts = count([p for one in held for p in one])
+        at = 0
+        for one in held:
+            out.append(sums[at] if one[0][1] else merge(parts[at : at + len(one)]).finish())
+            at += len(one)
+        held.clear()
+
+    for text in texts:
+        held.append(cut_pieces(text, piece, reach))
+        size += len(text)
+        if size >= _BLOCK:
+            flush()
+            size = 0
+    if held:
+        flush()
+    return out
+
+
+_RATIOS = ("mean_word_length", "symbol_ratio", "terminal_share", "common_share", *[f"{k}_share" for k in KINDS[1:]])
+_OUT = "doc_id long, n_chars long, n_lines long, n_words long, " + ", ".join(f"{k} double" for k in _RATIOS)
+
+
+def ratios(sums: np.ndarray) -> tuple:
+    lines, terminal, chars, letters, digits, odd, words, word_chars, common = sums.sum(0).tolist()
+    lines -= int(sums[BLANK, 0])
+    ratio = lambda a, b: float(a) / b if b else 0.0
+    return (chars, lines, words, ratio(word_chars, words), ratio(chars - letters - digits, chars), ratio(terminal, lines), ratio(common, words), *[ratio(int(x), chars) for x in sums[1:, 2]])
+
+
+_STATE = "doc_id long, key long, i int, last int, cut_left boolean, cut_right boolean, text string, part binary, sums array<long>"
+_STATE_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.string(), pa.binary(), pa.list_(pa.int64())]
+
+
+def _state(rows: list[tuple]) -> pa.RecordBatch:
+    names = [x.split(" ")[0] for x in _STATE.split(", ")]
+    columns = list(zip(*rows)) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, _STATE_TYPES)], names)
+
+
+def quality(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", piece: int = PIECE, spread: int = SPREAD, reach: int = REACH) -> DataFrame:
     """One row for each document: counts, ratios, and the share of its characters (blanks don't count) in lines of each kind.
 
     mean_word_length, symbol_ratio (neither letter nor digit), terminal_share (lines that end in punctuation),
@@ -250,50 +537,72 @@ def quality(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", pi
     which sum to 1. ``not_prose`` is true where prose_share < 0.5.
 
     Defined cases: a null id or a null or blank text gives no row; repeated rows give repeated rows where their ids
-    differ, and one row for each id and text where they don't; an empty table gives none. Whole texts are read.
+    differ, and one row for each id and text where they don't; an empty table gives none. Whole texts are read. A token of more than 64
+    characters is counted with its length and letters, but is no common, harsh or repeated word.
     """
-    docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL AND text RLIKE '\\\\S'")
+    docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), F.col(text).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL AND text RLIKE '\\\\S'")
+    tasks = shuffle_partitions(documents.sparkSession)
+
+    def leaves(batches):
+        """Sums of every document; of one that is spread, its stretches."""
+        for batch in batches:
+            ids, keys, texts = (batch.column(c).to_pylist() for c in range(3))
+            small = [i for i, t in enumerate(texts) if len(t) <= spread]
+            counted = count_texts([texts[i] for i in small], piece, reach)
+            yield _state([(ids[i], keys[i], 0, 0, False, False, None, None, s.ravel().tolist()) for i, s in zip(small, counted)])
+            for i in sorted(set(range(len(texts))) - set(small)):
+                stretches = cut_pieces(texts[i], spread, reach)
+                yield _state([(ids[i], keys[i], at, len(stretches) - 1, left, right, t, None, None) for at, (t, _, left, right) in enumerate(stretches)])
+
+    def stretch(t: str, left: bool, right: bool) -> Part:
+        inner = cut_pieces(t, piece, reach)
+        inner = [(p, False, left if i == 0 else a, right if i + 1 == len(inner) else b) for i, (p, _, a, b) in enumerate(inner)]
+        return merge(count(inner)[1])
+
+    def level(keep):
+        """Rows sorted by (doc_id, key, i): sums pass, neighbouring parts of a document merge."""
+
+        def run(batches):
+            now, at, held, last, told = None, -1, [], 0, None
+
+            def done():
+                return [] if now is None else keep(now, at, last, merge(held))
+
+            for batch in batches:
+                rows = []
+                columns = [batch.column(c).to_pylist() for c in range(9)]
+                for doc, key, i, end, left, right, t, part, sums in zip(*columns):
+                    group = (doc, key, i // FAN_IN if t is not None else 0)
+                    if sums is not None:
+                        if (doc, key) != told:
+                            told = (doc, key)
+                            rows.append((doc, key, i, end, False, False, None, None, sums))
+                        continue
+                    if group == now and i == at:
+                        continue  # the same document, sent twice
+                    one = stretch(t, left, right) if t is not None else Part.load(part)
+                    if group != now:
+                        rows.extend(done())
+                        now, held, last = group, [], end
+                    held.append(one)
+                    at = i
+                yield _state(rows)
+            yield _state(done())
+
+        return run
+
+    inner = level(lambda now, at, last, part: [(now[0], now[1], at, last, False, False, None, part.dump(), None)])
+    root = level(lambda now, at, last, part: [(now[0], now[1], 0, 0, False, False, None, None, part.finish().ravel().tolist())])
+    order = ("doc_id", "key", "i")
+    node = F.when(F.col("sums").isNull(), F.floor(F.col("i") / FAN_IN)).otherwise(0)
+    tree = docs.mapInArrow(leaves, _STATE).repartition(tasks, "doc_id", "key", node).sortWithinPartitions(*order).mapInArrow(inner, _STATE)
+    tree = tree.repartition(tasks, "doc_id", "key").sortWithinPartitions(*order).mapInArrow(root, _STATE)
     names = [x.split(" ")[0] for x in _OUT.split(", ")]
 
-    def whole(batches):
-        for pdf in batches:
-            yield pd.DataFrame([_row(d, scan(t, 0, len(t)).finish()) for d, t in zip(pdf["doc_id"], pdf["text"])], columns=names)
-
-    out = docs.where(F.length("text") <= piece).mapInPandas(whole, _OUT)
-    spark = documents.sparkSession
-    longest = docs.agg(F.max(F.length("text"))).first()[0] or 0
-    if longest > piece:
-        begin = F.col("i") * piece
-        left = F.least(begin, F.lit(CONTEXT))
-        pieces = (
-            docs.where(F.length("text") > piece)
-            .withColumn("key", F.xxhash64("text"))
-            .withColumn("i", F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / piece).cast("int"))))
-            .select("doc_id", "key", "i", left.alias("left"), F.least(F.lit(piece), F.length("text") - begin).alias("n"), F.substring("text", begin - left + 1, left + piece + CONTEXT).alias("t"))
-            .repartition(shuffle_partitions(spark), "doc_id", "i")
-        )
-
-        def part(batches):
-            for pdf in batches:
-                parts = [scan(t, a, a + n, i == 0 or t[a - 1] == "\n").dump() for i, a, n, t in zip(pdf["i"], pdf["left"], pdf["n"], pdf["t"])]
-                yield pdf[["doc_id", "key", "i"]].assign(part=parts)
-
-        def merge(pdf):
-            pdf = pdf.drop_duplicates("i").sort_values("i")
-            total = None
-            for p in map(Part.load, pdf["part"]):
-                total = p if total is None else total + p
-            return pd.DataFrame({"doc_id": pdf["doc_id"][:1], "key": pdf["key"][:1], "i": pdf["up"][:1], "part": [total.dump()]})
-
-        parts = checkpoint(pieces.mapInPandas(part, "doc_id long, key long, i int, part string"))
-        count = -(-longest // piece)
-        while count > 1:
-            count = -(-count // FAN_IN)
-            parts = checkpoint(parts.withColumn("up", F.floor(F.col("i") / FAN_IN).cast("int")).groupBy("doc_id", "key", "up").applyInPandas(merge, "doc_id long, key long, i int, part string"))
-
-        def finish(batches):
-            for pdf in batches:
-                yield pd.DataFrame([_row(d, Part.load(p).finish()) for d, p in zip(pdf["doc_id"], pdf["part"])], columns=names)
-
-        out = out.unionByName(parts.mapInPandas(finish, _OUT))
-    return out.distinct().withColumn("not_prose", F.col("prose_share") < 0.5)
+    def finish(batches):
+        for batch in batches:
+            rows = [(d, *ratios(np.array(s, np.int64).reshape(len(KINDS), -1))) for d, s in zip(batch.column(0).to_pylist(), batch.column(8).to_pylist())]
+            columns = list(zip(*rows)) if rows else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64() if i < 4 else pa.float64()) for i, c in enumerate(columns)], names)
+
+    return tree.mapInArrow(finish, _OUT).withColumn("not_prose", F.col("prose_share") < 0.5)

@@ -67,6 +67,18 @@ def test_leaks_equal_a_word_by_word_search():
         assert set(leakage.leaked_texts(index, " ".join(doc), 12, 6, 0.5)) == expected
 
 
+def share_of_prose(text):
+    return tq.ratios(tq.count_texts([text])[0])[7]
+
+
+def kinds(text):
+    out = []
+    for line in text.split("\n"):
+        sums = tq.count_texts([line])[0]
+        out.append(tq.KINDS[int(sums[:, 0].argmax())])
+    return out
+
+
 PROSE = "We bought this lamp for my brother and it has worked well for the whole winter. The light is warm, and the switch feels solid."
 
 
@@ -75,7 +87,7 @@ PROSE = "We bought this lamp for my brother and it has worked well for the whole
     [PROSE, PROSE.upper(), PROSE.lower().replace(".", ""), PROSE.replace(" ", "\n", 3), "— " + PROSE, "Wir haben das Gerät in der Küche benutzt, und der Deckel ist immer noch stabil.", "El visor es firme y el color es igual que en la foto.", "C'est un cadeau pour ma sœur, qui trouve le casque assez mince.", "> " + PROSE],
 )
 def test_prose(text):
-    assert tq._row(1, tq.scan(text, 0, len(text)).finish())[8] > 0.5
+    assert share_of_prose(text) > 0.5
 
 
 @pytest.mark.parametrize(
@@ -83,24 +95,39 @@ def test_prose(text):
     ["- red lamp\n- blue lamp\n* the black lens of a garden", "1. garden cable, 3 pcs\n2) lamp cover, 4 pcs", "| a | b |\n|---|---|\n| lamp | 3 |", "Motor: 45 g\nLens = 66 navy", "a,b,c,4,5.5\nd,e,f,6,7.5", "Home > Shop > Lamps | Blue\nSign in | Cart", "#lamp #blue #garden #night", '<div class="x"><span>blue</span></div>', '{"sku": 9, "lamp": "blue", "tags": ["a"]}', "2023-09-05 08:32:07 INFO worker-32 rc=3", "ha ha ha ha ha ha", "wgcqb rqjncjdsz epyklpkqqx xcccwembzs iqkazgky", "Ã¾œ¿Ð™€ ¤¢¿ÐÑ¾™ œ¿¤¢€ Â¿™¾", "SGVsbG8gd29ybGQgdGhpcyBpcyBiYXNlNjQgZW5jb2RlZCB0ZXh0", "Lamp for the boss    89 of 98\nSum of the lamps    45.10", "sharp, stiff, bright, blue, solid, warm, red, lamp"],
 )
 def test_no_prose(text):
-    assert tq._row(1, tq.scan(text, 0, len(text)).finish())[8] < 0.5
+    assert share_of_prose(text) < 0.5
+
+
+TEXTS = st.lists(
+    st.sampled_from(["the lamp is on.", "- red", "\n", "\n\n", " ", "    ", "a,b,c", "\tx", "word" * 9, "ha ha ha ", "|", "<b>x</b>", "é¿¤", "12.5", "x" * 1000, "the " * 3, "y" * 300 + ",", "#tag", "\n" + " " * 500, "…" * 70, "«q»", "z" * 64, "z" * 65]), max_size=40
+).map("".join)
+
+
+@settings(max_examples=150, deadline=None)
+@given(TEXTS)
+def test_cuts_change_nothing(text):
+    whole = tq.count_texts([text], piece=1 << 30)[0]
+    for size, reach in ((1, 64), (7, 64), (7, 200), (300, 64), (200_000, 256)):
+        assert (tq.count_texts([text], size, reach)[0] == whole).all()
 
 
-TEXTS = st.lists(st.sampled_from(["the lamp is on.", "- red", "\n", "\n\n", " ", "    ", "a,b,c", "\tx", "word" * 9, "ha ha ha ", "|", "<b>x</b>", "é¿¤", "12.5"]), max_size=40).map("".join)
+@settings(max_examples=100, deadline=None)
+@given(TEXTS, st.data())
+def test_parts_add_up_in_any_order(text, data):
+    pieces = [(t, False, a, b) for t, _, a, b in tq.cut_pieces(text, 5, 64)]
+    parts = tq.count(pieces)[1]
+    while len(parts) > 1:
+        i = data.draw(st.integers(0, len(parts) - 2))
+        parts[i : i + 2] = [tq.Part.load((parts[i] + parts[i + 1]).dump())]
+    assert (parts[0].finish() == tq.count_texts([text], 1 << 30)[0]).all()
 
 
-@settings(max_examples=200, deadline=None)
-@given(TEXTS, st.integers(1, 60))
-def test_cuts_change_nothing(text, size):
-    whole = tq.scan(text, 0, len(text)).finish()
-    total = None
-    for a in range(0, max(1, len(text)), size):
-        left = max(0, a - tq.CONTEXT)
-        piece = text[left : a + size + tq.CONTEXT]
-        part = tq.scan(piece, a - left, min(a - left + size, len(piece)), a == 0 or text[a - 1] == "\n")
-        part = tq.Part.load(part.dump())
-        total = part if total is None else total + part
-    assert total.finish() == whole
+def test_counts_of_a_line():
+    sums = tq.count_texts(["The old lamp, the OLD lamp   is on (really) #blue x_1 don't.\n\nqq"])[0]
+    stats = dict(zip(("n_chars", "n_lines", "n_words", *tq._RATIOS), tq.ratios(sums)))
+    assert stats["n_chars"] == 49 and stats["n_lines"] == 2 and stats["n_words"] == 13
+    assert stats["mean_word_length"] == sum(map(len, "The old lamp the OLD lamp is on really blue x_1 don't qq".split())) / 13
+    assert stats["common_share"] == 4 / 13 and stats["terminal_share"] == 0.5
 
 
 def test_quality_of_tables(spark):
@@ -110,8 +137,10 @@ def test_quality_of_tables(spark):
     whole = {r["doc_id"]: r for r in tq.quality(df).collect()}
     assert set(whole) == {1, 4, 5, 6} and [d for d, r in whole.items() if r["not_prose"]] == [4]
     assert whole[1]["n_chars"] == len(re.sub(r"\s", "", PROSE)) and whole[1]["n_words"] == len(PROSE.split())
-    cut = {r["doc_id"]: r for r in tq.quality(df, piece=1000).collect()}
-    assert cut == whole and tq.quality(df.where("doc_id > 99")).count() == 0
+    for piece, spread in ((1000, 1 << 20), (100, 700), (7, 100)):
+        cut = {r["doc_id"]: r for r in tq.quality(df, piece=piece, spread=spread, reach=64).collect()}
+        assert cut == whole
+    assert tq.quality(df, spread=700).count() == len(whole) and tq.quality(df.where("doc_id > 99")).count() == 0
 
 
 TARGETS = "source string, target_share decimal(5,2), max_repeats int"
@@ -175,9 +204,9 @@ def test_report_gives_the_shares_of_the_copies_drawn(spark):
     ["Вчера мы ездили на море, и дети весь день играли на песке.\nВечером пошёл дождь, но никто не хотел домой", "Χθες πήγαμε στη θάλασσα και τα παιδιά έπαιζαν όλη μέρα στην άμμο. Το βράδυ έβρεξε πολύ.", "ذهبنا أمس إلى البحر ولعب الأطفال طوال اليوم على الرمال.", "हम कल समुद्र के किनारे गए और बच्चे पूरे दिन रेत पर खेले।"],
 )
 def test_prose_of_other_scripts(text):
-    assert [tq.KINDS[tq.judge(tq._fragment(line, 0, len(line), True))] for line in text.split("\n")] == ["prose"] * len(text.split("\n"))
+    assert kinds(text) == ["prose"] * len(text.split("\n"))
 
 
 @pytest.mark.parametrize("text", ["красный, синий, зелёный, белый, чёрный, жёлтый", "- хлеб\n- молоко", "xkjq wvbn zzrt qpfg hjkl mnbv"])
 def test_lists_of_other_scripts_and_junk_stay_no_prose(text):
-    assert all(tq.KINDS[tq.judge(tq._fragment(line, 0, len(line), True))] != "prose" for line in text.split("\n"))
+    assert "prose" not in kinds(text)
