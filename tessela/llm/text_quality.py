@@ -370,7 +370,7 @@ def count(pieces: list[tuple[str, bool, bool, bool]]) -> tuple[np.ndarray, list[
     tally(OTHER, letter & foreign)
 
     # The words that are looked up: their characters side by side, with running sums of hashes.
-    short = np.flatnonzero(bare & closed & (b1 - b0 <= WORD))
+    short = np.flatnonzero(bare & closed & (length <= WORD))
     size_w = (b1 - b0)[short]
     first = np.cumsum(size_w) - size_w
     owner = np.repeat(np.arange(len(short)), size_w)
@@ -512,21 +512,33 @@ _RATIOS = ("mean_word_length", "symbol_ratio", "terminal_share", "common_share",
 _OUT = "doc_id long, n_chars long, n_lines long, n_words long, " + ", ".join(f"{k} double" for k in _RATIOS)
 
 
-def ratios(sums: np.ndarray) -> tuple:
-    lines, terminal, chars, letters, digits, odd, words, word_chars, common = sums.sum(0).tolist()
-    lines -= int(sums[BLANK, 0])
-    ratio = lambda a, b: float(a) / b if b else 0.0
-    return (chars, lines, words, ratio(word_chars, words), ratio(chars - letters - digits, chars), ratio(terminal, lines), ratio(common, words), *[ratio(int(x), chars) for x in sums[1:, 2]])
+def ratios(sums: np.ndarray) -> list[np.ndarray]:
+    """The statistics of documents, an array for each, from their sums (document, kind, what is summed)."""
+    lines, terminal, chars, letters, digits, odd, words, word_chars, common = sums.sum(1).T
+    lines = lines - sums[:, BLANK, 0]
+    ratio = lambda a, b: np.where(b > 0, a / np.maximum(b, 1), 0.0)
+    shares = [ratio(sums[:, kind, 2], chars) for kind in range(1, len(KINDS))]
+    return [chars, lines, words, ratio(word_chars, words), ratio(chars - letters - digits, chars), ratio(terminal, lines), ratio(common, words), *shares]
 
 
 _STATE = "doc_id long, key long, i int, last int, cut_left boolean, cut_right boolean, text string, part binary, sums array<long>"
+_NAMES = [x.split(" ")[0] for x in _STATE.split(", ")]
 _STATE_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.string(), pa.binary(), pa.list_(pa.int64())]
 
 
-def _state(rows: list[tuple]) -> pa.RecordBatch:
-    names = [x.split(" ")[0] for x in _STATE.split(", ")]
-    columns = list(zip(*rows)) if rows else [()] * len(names)
-    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, _STATE_TYPES)], names)
+def _open(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows (doc_id, key, i, last, cut_left, cut_right, text, part) of documents that aren't whole yet."""
+    columns = [*zip(*rows)] if rows else [()] * 8
+    return pa.RecordBatch.from_arrays([*[pa.array(list(c), t) for c, t in zip(columns, _STATE_TYPES)], pa.nulls(len(rows), _STATE_TYPES[8])], _NAMES)
+
+
+def _whole(ids: list[int], keys: list[int], sums: list[np.ndarray]) -> pa.RecordBatch:
+    n = len(ids)
+    width = len(KINDS) * (2 + len(_SUMMED))
+    values = np.concatenate([x.ravel() for x in sums]) if n else np.empty(0, np.int64)
+    told = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(values))
+    zero, no = pa.array(np.zeros(n, np.int32)), pa.array(np.zeros(n, bool))
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), zero, zero, no, no, pa.nulls(n, pa.string()), pa.nulls(n, pa.binary()), told], _NAMES)
 
 
 def quality(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", piece: int = PIECE, spread: int = SPREAD, reach: int = REACH) -> DataFrame:
@@ -549,10 +561,10 @@ def quality(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", pi
             ids, keys, texts = (batch.column(c).to_pylist() for c in range(3))
             small = [i for i, t in enumerate(texts) if len(t) <= spread]
             counted = count_texts([texts[i] for i in small], piece, reach)
-            yield _state([(ids[i], keys[i], 0, 0, False, False, None, None, s.ravel().tolist()) for i, s in zip(small, counted)])
+            yield _whole([ids[i] for i in small], [keys[i] for i in small], counted)
             for i in sorted(set(range(len(texts))) - set(small)):
                 stretches = cut_pieces(texts[i], spread, reach)
-                yield _state([(ids[i], keys[i], at, len(stretches) - 1, left, right, t, None, None) for at, (t, _, left, right) in enumerate(stretches)])
+                yield _open([(ids[i], keys[i], at, len(stretches) - 1, left, right, t, None) for at, (t, _, left, right) in enumerate(stretches)])
 
     def stretch(t: str, left: bool, right: bool) -> Part:
         inner = cut_pieces(t, piece, reach)
@@ -564,35 +576,34 @@ def quality(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", pi
 
         def run(batches):
             now, at, held, last, told = None, -1, [], 0, None
-
-            def done():
-                return [] if now is None else keep(now, at, last, merge(held))
-
             for batch in batches:
-                rows = []
-                columns = [batch.column(c).to_pylist() for c in range(9)]
-                for doc, key, i, end, left, right, t, part, sums in zip(*columns):
+                done = batch.filter(batch.column(8).is_valid())
+                ids, keys = done.column(0).to_numpy(), done.column(1).to_numpy()
+                fresh = np.ones(len(ids), bool)
+                fresh[1:] = (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])
+                if len(ids):
+                    fresh[0] = (ids[0], keys[0]) != told
+                    told = (ids[-1], keys[-1])
+                yield done.filter(pa.array(fresh))
+                rest = batch.filter(batch.column(8).is_null())
+                for doc, key, i, end, left, right, t, part in zip(*[rest.column(c).to_pylist() for c in range(8)]):
                     group = (doc, key, i // FAN_IN if t is not None else 0)
-                    if sums is not None:
-                        if (doc, key) != told:
-                            told = (doc, key)
-                            rows.append((doc, key, i, end, False, False, None, None, sums))
-                        continue
                     if group == now and i == at:
                         continue  # the same document, sent twice
                     one = stretch(t, left, right) if t is not None else Part.load(part)
                     if group != now:
-                        rows.extend(done())
+                        if now is not None:
+                            yield keep(now, at, last, merge(held))
                         now, held, last = group, [], end
                     held.append(one)
                     at = i
-                yield _state(rows)
-            yield _state(done())
+            if now is not None:
+                yield keep(now, at, last, merge(held))
 
         return run
 
-    inner = level(lambda now, at, last, part: [(now[0], now[1], at, last, False, False, None, part.dump(), None)])
-    root = level(lambda now, at, last, part: [(now[0], now[1], 0, 0, False, False, None, None, part.finish().ravel().tolist())])
+    inner = level(lambda now, at, last, part: _open([(now[0], now[1], at, last, False, False, None, part.dump())]))
+    root = level(lambda now, at, last, part: _whole([now[0]], [now[1]], [part.finish()]))
     order = ("doc_id", "key", "i")
     node = F.when(F.col("sums").isNull(), F.floor(F.col("i") / FAN_IN)).otherwise(0)
     tree = docs.mapInArrow(leaves, _STATE).repartition(tasks, "doc_id", "key", node).sortWithinPartitions(*order).mapInArrow(inner, _STATE)
@@ -601,8 +612,7 @@ def quality(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", pi
 
     def finish(batches):
         for batch in batches:
-            rows = [(d, *ratios(np.array(s, np.int64).reshape(len(KINDS), -1))) for d, s in zip(batch.column(0).to_pylist(), batch.column(8).to_pylist())]
-            columns = list(zip(*rows)) if rows else [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64() if i < 4 else pa.float64()) for i, c in enumerate(columns)], names)
+            counts = ratios(batch.column(8).flatten().to_numpy().reshape(batch.num_rows, len(KINDS), 2 + len(_SUMMED)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, counts)], names)
 
     return tree.mapInArrow(finish, _OUT).withColumn("not_prose", F.col("prose_share") < 0.5)
