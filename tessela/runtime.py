@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pickle
+import re
 import tempfile
 import uuid
 
@@ -19,11 +20,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Take the folder that the cluster names in spark.checkpoint.dir; a temporary one only where none is named (tests)."""
+    """Take the folder that the session names in spark.checkpoint.dir. Where none is named, a local session gets a temporary one; on a
+    cluster, whose machines share no such folder, that is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir():
         return
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("name a folder that all machines share in spark.checkpoint.dir")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessela-checkpoint-"))
 
 
@@ -46,11 +50,26 @@ def written(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path
     if instead_of is not None:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(instead_of.written_path)
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        discard(instead_of)
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def discard(table: DataFrame) -> None:
+    """Removes the files of a written table that nothing refers to any more."""
+    _delete(table.sparkSession, table.written_path)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Removes this session's checkpoints and written tables, once its results have been read or stored."""
+    if spark.sparkContext.getCheckpointDir():
+        _delete(spark, spark.sparkContext.getCheckpointDir())
+
+
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast when a counted bound proves the side small; else leave the choice to the shuffle join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
