@@ -1,12 +1,13 @@
 """Listings of one product: standard identifiers, makers and part numbers join them; stated properties guard the groups.
 
-1. Every listing is parsed once: checksum-valid trade item numbers, part number and version suffix, kind (an accessory for
-   something, a pack of several), and properties with a unit or a colour, brought to common units.
+1. Every listing is parsed once: all checksum-valid trade item numbers, part number and version suffix, kind (an accessory for
+   something, a pack of several), and properties with a unit or a colour, brought to common units. The weight is one more property.
 2. Makers are typed by people; a rare spelling goes to the frequent one that is one edit away. Listings without a part
    number get it from words of their name that, with that maker, go with one number almost always.
-3. Listings of one maker, number, suffix and kind form a family. Within it only different combinations of properties are
-   looked at, so a family's size in a task follows the variants, not the listings. A guarded union-find merges combinations of equal
-   weight or identifier, as long as no stated property differs; those without weight join the one group that they fit.
+3. Listings of one maker, number, suffix and kind form a family. Only its different combinations of properties are looked at: first
+   those of equal weight together, then those without a weight join the one group that they fit. Any differing property keeps apart.
+4. Trade item numbers join groups and listings of any family, also those without maker or part number, by distributed connected
+   components; a component whose members contradict each other is cut at its weakest edges.
 """
 
 from __future__ import annotations
@@ -15,11 +16,13 @@ import re
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessela.llm.components import guarded_components
 from tessela.llm.cooccurrence import basket_pairs
-from tessela.runtime import checkpoint
+from tessela.runtime import checkpoint, shuffle_partitions
 
 # Units with the property they measure and their factor to its base unit.
 UNITS = {
@@ -94,7 +97,7 @@ def maker_key(text: str | None) -> str:
 
 
 def parse(name: str | None, description: str | None, brand: str | None) -> tuple:
-    """(maker, names, trade number, part number, suffix, accessory, pack, properties, words) of a listing."""
+    """(maker, names, trade numbers, part number, suffix, accessory, pack, properties, words) of a listing."""
     title = unicodedata.normalize("NFKC", name or "")
     about = unicodedata.normalize("NFKC", description or "")
     both = f"{title} \n {about}"
@@ -122,10 +125,10 @@ def parse(name: str | None, description: str | None, brand: str | None) -> tuple
     made = re.findall(r"\b(?:from|by)\s+([^\W\d_]{3,})", both)
     names = list(dict.fromkeys([*(maker_key(x) for x in made), *words]))
     stated = properties(both)
-    return (maker_key(brand), names, trade[0] if len(trade) == 1 else "", part, suffix, accessory, count, ";".join(f"{k}={v}" for k, v in sorted(stated.items())), words)
+    return (maker_key(brand), names, trade, part, suffix, accessory, count, ";".join(f"{k}={v}" for k, v in sorted(stated.items())), words)
 
 
-_PARSED = "product_id long, weight string, maker string, names array<string>, trade string, part string, suffix string, accessory string, pack int, stated string, words array<string>"
+_PARSED = "product_id long, weight string, maker string, names array<string>, trade array<string>, part string, suffix string, accessory string, pack int, stated string, words array<string>"
 
 
 def _shortened(word: Column) -> Column:
@@ -149,13 +152,11 @@ def _families(parsed: DataFrame) -> DataFrame:
     """Adds the right maker and the part number that a listing's words stand for."""
     makers = parsed.where("maker != ''").groupBy(F.col("maker").alias("word")).agg(F.count(F.lit(1)).alias("n"))
     right = checkpoint(_spelling(makers))
-    known = right.select("right").distinct()
     given = parsed.join(right.withColumnRenamed("word", "maker"), "maker", "left").withColumnRenamed("right", "brand")
     # No maker's column: the first word of the listing that is some listing's maker.
     open_ = given.where("brand IS NULL").select("product_id", F.posexplode("names").alias("at", "word"))
     told = open_.join(right, "word").groupBy("product_id").agg(F.min_by("right", "at").alias("told"))
     given = checkpoint(given.join(told, "product_id", "left").withColumn("brand", F.coalesce("brand", "told", F.lit(""))).drop("told", "maker", "names"))
-    del known
     words = given.where("part != '' AND brand != ''").select("brand", "part", F.explode("words").alias("word"))
     seen = words.groupBy("brand", "word", "part").agg(F.count(F.lit(1)).alias("n"))
     lines = seen.groupBy("brand", "word").agg(F.max_by("part", F.struct("n", "part")).alias("line"), F.max("n").alias("most"), F.sum("n").alias("n"))
@@ -172,54 +173,158 @@ def _families(parsed: DataFrame) -> DataFrame:
     return given.join(found, "product_id", "left").withColumn("part", F.when(F.col("part") == "", F.coalesce("line", F.lit(""))).otherwise(F.col("part"))).drop("line")
 
 
-def _fits(a: dict, b: dict) -> bool:
-    return all(b.get(k, v) == v for k, v in a.items())
-
-
-def resolve(nodes: list[tuple[str, str, str]]) -> list[int]:
-    """(weight, trade number, stated) of the different combinations of a family -> group numbers."""
-    stated = [dict(x.split("=", 1) for x in s.split(";") if x) for _, _, s in nodes]
-    groups: list[dict] = []
-    out = [-1] * len(nodes)
-    order = sorted(range(len(nodes)), key=lambda i: (-len(stated[i]), nodes[i]))
-
-    def add(i: int, g: dict | None) -> None:
-        if g is None:
-            g = {"no": len(groups), "stated": {}, "weights": set(), "trades": set()}
-            groups.append(g)
-        g["stated"].update(stated[i])
-        g["weights"].update({nodes[i][0]} - {""})
-        g["trades"].update({nodes[i][1]} - {""})
-        out[i] = g["no"]
-
-    for i in order:
-        weight, trade, _ = nodes[i]
-        if not (weight or trade):
-            continue
-        same = [g for g in groups if (trade and trade in g["trades"] or weight and weight in g["weights"] and not (trade and g["trades"])) and _fits(stated[i], g["stated"])]
-        add(i, max(same, key=lambda g: (trade in g["trades"], len(stated[i].items() & g["stated"].items())), default=None))
-    for i in order:
-        if out[i] >= 0:
-            continue
-        fit = [g for g in groups if _fits(stated[i], g["stated"])]
-        score = [len(stated[i].items() & g["stated"].items()) for g in fit]
-        if fit and score.count(max(score)) == 1:
-            add(i, fit[score.index(max(score))])
+def _apart(stated: str) -> dict[str, str]:
+    return dict(x.split("=", 1) for x in stated.split(";") if x)
+
+
+def _stated(properties: dict[str, str]) -> str:
+    return ";".join(f"{k}={v}" for k, v in sorted(properties.items()))
+
+
+class Groups:
+    """Groups by the properties that their members state. Those that share a value with a new member are found by that value, those that share
+    no kind of property by their kinds, so a member isn't compared with all groups."""
+
+    def __init__(self):
+        self.stated: list[dict[str, str]] = []
+        self.closed: list[bool] = []
+        self._by_value: dict[tuple[str, str], set[int]] = {}
+        self._by_kinds: dict[frozenset, set[int]] = {}
+
+    def add(self, properties: dict[str, str], to: int | None = None, closed: bool = False) -> int:
+        """Puts a member into a group, or a new one. closed: nothing joins it."""
+        if to is None:
+            to = len(self.stated)
+            self.stated.append({})
+            self.closed.append(closed)
+        elif not properties.items() - self.stated[to].items():
+            return to
+        held = self.stated[to]
+        self._by_kinds.get(frozenset(held), set()).discard(to)
+        held.update(properties)
+        for item in properties.items():
+            self._by_value.setdefault(item, set()).add(to)
+        self._by_kinds.setdefault(frozenset(held), set()).add(to)
+        return to
+
+    def fitting(self, properties: dict[str, str]) -> list[int]:
+        """The groups that contradict nothing, of those only the ones that share the most values."""
+        shared: dict[int, int] = {}
+        for item in properties.items():
+            for g in self._by_value.get(item, ()):
+                shared[g] = shared.get(g, 0) + 1
+        fit = {g: n for g, n in shared.items() if all(self.stated[g].get(k, v) == v for k, v in properties.items())}
+        if fit:
+            most = max(fit.values())
+            return sorted(g for g, n in fit.items() if n == most)
+        return sorted(g for kinds, members in self._by_kinds.items() if not kinds & properties.keys() for g in members)
+
+
+def join_alike(nodes: list[str]) -> tuple[list[int], list[str]]:
+    """Combinations of properties that should be one product (of equal weight) -> (group numbers, what the groups state)."""
+    groups, out = Groups(), [-1] * len(nodes)
+    apart = [_apart(s) for s in nodes]
+    for i in sorted(range(len(nodes)), key=lambda i: (-len(apart[i]), nodes[i])):
+        fit = groups.fitting(apart[i])
+        out[i] = groups.add(apart[i], fit[0] if fit else None)
+    return out, [_stated(s) for s in groups.stated]
+
+
+def attach(known: list[tuple[str, int]], nodes: list[str]) -> list[int]:
+    """known: (what groups state, how many groups state just that). Nodes without a weight join the one group that they fit best; one that
+    fits several stays with its equals. -> numbers: of a known group if below len(known), else of a new group."""
+    groups, out = Groups(), [-1] * len(nodes)
+    for stated, count in known:
+        groups.add(_apart(stated), closed=count > 1)
+    alone: dict[str, int] = {}
+    apart = [_apart(s) for s in nodes]
+    for i in sorted(range(len(nodes)), key=lambda i: (-len(apart[i]), nodes[i])):
+        fit = groups.fitting(apart[i])
+        if len(fit) == 1 and not groups.closed[fit[0]]:
+            out[i] = groups.add(apart[i], fit[0])
         elif not fit:
-            add(i, None)
+            out[i] = groups.add(apart[i])
         else:
-            same = [g for g in groups if g.get("alone") == stated[i]]
-            add(i, same[0] if same else None)
-            groups[out[i]]["alone"] = dict(stated[i])
+            if nodes[i] not in alone:
+                alone[nodes[i]] = groups.add(apart[i])
+            out[i] = alone[nodes[i]]
     return out
 
 
+def _streamed(solve):
+    """Rows that arrive sorted by their first column -> solve(value, rows) of each value, one at a time."""
+
+    def run(batches):
+        now, held = None, []
+        for batch in batches:
+            out = []
+            for row in zip(*[c.to_pylist() for c in batch.columns]):
+                if row[0] != now and held:
+                    out.extend(solve(now, held))
+                    held = []
+                now = row[0]
+                held.append(row)
+            yield from _rows(out)
+        if held:
+            yield from _rows(solve(now, held))
+
+    def _rows(out):
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*out)], ["block", "stated", "group", "sum"])
+
+    return run
+
+
+_SOLVED = "block string, stated string, group string, sum string"
+
+
+def _grouped(full: DataFrame) -> DataFrame:
+    """full(product_id, family, weight, stated, ...) -> (family, weight, stated, gid): the group of every combination of a family."""
+    tasks = shuffle_partitions(full.sparkSession)
+    combos = checkpoint(full.where("family IS NOT NULL").select("family", "weight", "stated").distinct())
+
+    def of_weight(block, rows):
+        numbers, sums = join_alike([r[1] for r in rows])
+        return [(block, r[1], f"{block}|{no}", sums[no]) for r, no in zip(rows, numbers)]
+
+    weighed = combos.where("weight != ''").select(F.concat_ws("|", "family", "weight").alias("block"), "stated")
+    weighed = weighed.repartition(tasks, "block").sortWithinPartitions("block").mapInArrow(_streamed(of_weight), _SOLVED)
+    block = F.concat_ws("|", "family", "weight")
+    weighed = checkpoint(combos.where("weight != ''").withColumn("block", block).join(weighed, ["block", "stated"]).select("family", "weight", "stated", F.col("group").alias("gid"), "sum"))
+
+    def of_family(block, rows):
+        known = [r for r in rows if r[2] is not None]
+        nodes = [r for r in rows if r[2] is None]
+        numbers = attach([(r[1], r[3]) for r in known], [r[1] for r in nodes])
+        return [(block, r[1], known[no][2] if no < len(known) else f"{block}||{no - len(known)}", "") for r, no in zip(nodes, numbers)]
+
+    sums = weighed.groupBy(F.col("family").alias("block"), F.col("sum").alias("stated")).agg(F.min("gid").alias("gid"), F.count_distinct("gid").alias("n"))
+    light = combos.where("weight = ''").select(F.col("family").alias("block"), "stated", F.lit(None).cast("string").alias("gid"), F.lit(0).cast("long").alias("n"))
+    light = sums.join(light.select("block").distinct(), "block", "left_semi").unionByName(light)
+    light = light.repartition(tasks, "block").sortWithinPartitions("block", "stated", "gid").mapInArrow(_streamed(of_family), _SOLVED)
+    light = light.select(F.col("block").alias("family"), F.lit("").alias("weight"), "stated", F.col("group").alias("gid"))
+    return weighed.select("family", "weight", "stated", "gid").unionByName(light)
+
+
+def _joined_by_trade(listed: DataFrame) -> DataFrame:
+    """listed(product_id, gid, trade, guard) -> (gid, root): groups that share a trade item number and contradict each other in nothing."""
+    numbered = listed.select(F.col("gid").alias("node"), F.explode("trade").alias("key"))
+    shared = numbered.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high").select("key")
+    edges = checkpoint(numbered.join(shared, "key").groupBy("node", "key").agg(F.count(F.lit(1)).alias("support")))
+    if not edges.limit(1).count():
+        return edges.select(F.col("node").alias("gid"), F.col("node").alias("root"))
+    nodes = edges.select(F.col("node").alias("gid")).distinct()
+    pair = F.split("item", "=", 2)
+    stated = listed.join(nodes, "gid", "left_semi").select(F.col("gid").alias("node"), F.explode("guard").alias("item")).distinct().select("node", pair[0].alias("kind"), pair[1].alias("value"))
+    return guarded_components(edges, checkpoint(stated)).select(F.col("node").alias("gid"), F.col("component").alias("root"))
+
+
 def group_listings(df: DataFrame, id_col: str = "product_id", version_col: str = "last_updated") -> DataFrame:
     """(product_id, group_id, family): one row per listing; listings of the same product share group_id.
 
     Reads name, description, brand and weight_kg. Defined cases: null ids are dropped; an id with several rows counts
-    once, with its latest; a listing of which neither maker and part number nor a trade item number are known is alone in
-    its group; null texts state nothing; an empty table gives no rows. Other columns are ignored.
+    once, with its latest; a listing of which neither maker and part number nor a shared trade item number are known is alone in
+    its group; null texts state nothing; an empty table gives no rows. Other columns are ignored. Groups are named by a 64-bit hash.
     """
     latest = F.struct(F.col(version_col).alias("v"), F.col("name"), F.col("description"), F.col("brand"), F.col("weight_kg").cast("string").alias("weight"))
     rows = df.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("product_id")).agg(F.max(latest).alias("x"))
@@ -233,19 +338,17 @@ def group_listings(df: DataFrame, id_col: str = "product_id", version_col: str =
 
     parsed = checkpoint(rows.mapInPandas(run, _PARSED))
     full = _families(parsed)
-    family = F.when((F.col("part") != "") & (F.col("brand") != ""), F.concat_ws("|", "brand", "part", "suffix", "accessory", F.col("pack").cast("string")))
-    family = F.coalesce(family, F.when(F.col("trade") != "", F.concat(F.lit("trade|"), "trade")))
-    full = checkpoint(full.withColumn("family", family).select("product_id", "family", "weight", "trade", "stated"))
-    combos = full.where("family IS NOT NULL").select("family", "weight", "trade", "stated").distinct()
-
-    def solve(pdf):
-        keys = list(zip(pdf["weight"], pdf["trade"], pdf["stated"]))
-        return pdf.assign(no=resolve(keys))
-
-    solved = combos.groupBy("family").applyInPandas(solve, "family string, weight string, trade string, stated string, no int")
-    grouped = full.join(solved, ["family", "weight", "trade", "stated"], "left")
-    named = F.when(F.col("no").isNull(), F.concat(F.lit("single|"), F.col("product_id").cast("string"))).otherwise(F.concat_ws("|", "family", F.col("no").cast("string")))
-    return grouped.select("product_id", F.xxhash64(named).alias("group_id"), "family")
+    pack = F.col("pack").cast("string")
+    family = F.when((F.col("part") != "") & (F.col("brand") != ""), F.concat_ws("|", "brand", "part", "suffix", "accessory", pack))
+    told = F.filter(F.split("stated", ";"), lambda x: x != "")
+    own = [F.concat(F.lit("accessory="), "accessory"), F.concat(F.lit("pack="), pack)]
+    maybe = [F.when(F.col("weight") != "", F.concat(F.lit("weight="), "weight")), F.when(F.col("part") != "", F.concat(F.lit("suffix="), "suffix"))]
+    guard = F.concat(told, F.array_compact(F.array(*own, *maybe)))
+    full = checkpoint(full.select("product_id", family.alias("family"), "weight", "trade", "stated", guard.alias("guard")))
+    single = F.concat(F.lit("single|"), F.col("product_id").cast("string"))
+    listed = checkpoint(full.join(_grouped(full), ["family", "weight", "stated"], "left").select("product_id", "family", F.coalesce("gid", single).alias("gid"), "trade", "guard"))
+    merged = _joined_by_trade(listed)
+    return listed.join(merged, "gid", "left").select("product_id", F.xxhash64(F.coalesce("root", "gid")).alias("group_id"), "family")
 
 
 def same_product_pairs(df: DataFrame, id_col: str = "product_id", version_col: str = "last_updated") -> DataFrame:

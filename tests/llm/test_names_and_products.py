@@ -102,6 +102,35 @@ def test_maker_slips_and_trade_numbers(spark):
 
 
 def test_guard_splits_equal_weights():
-    nodes = [("1.00", "", "colour=red;power=20"), ("1.00", "", "colour=blue;power=20"), ("1.00", "", "colour=red"), ("", "", "colour=blue"), ("", "", "colour=green")]
-    out = pm.resolve(nodes)
-    assert out[0] == out[2] and out[1] == out[3] and len({out[0], out[1], out[4]}) == 3
+    out, sums = pm.join_alike(["colour=red;power=20", "colour=blue;power=20", "colour=red"])
+    assert out[0] == out[2] != out[1] and sorted(sums) == ["colour=blue;power=20", "colour=red;power=20"]
+    known = [("colour=red;power=20", 1), ("colour=blue;power=20", 1), ("colour=pink", 2)]
+    got = pm.attach(known, ["colour=red", "power=20", "colour=green", "", "colour=pink", "colour=green;power=20", "power=20;time=5"])
+    assert got[0] == 0 and got[2] == got[5] >= 3
+    assert len({got[1], got[3], got[4], got[6], 0, 1, 2}) == 7
+
+
+def test_trade_numbers_join_across_families(spark):
+    first, second = "4006381333931", "036000291452"
+    rows = [listing(1, "Acme TR200 Kettle 1.5 l", first, "Acme"), listing(2, "Steel kettle", first, None), listing(3, "Acne TR-201 kettle", f"{first} {second}", "Acne"), listing(4, "Kettle", second, ""), listing(5, "Another kettle", None, None)]
+    assert groups(spark, rows) == set(itertools.combinations([1, 2, 3, 4], 2))
+    assert groups(spark, rows[:2]) == {(1, 2)}
+
+
+def test_contradictions_cut_the_weakest_edges(spark):
+    number = "4006381333931"
+    strong = [listing(i, "Acme TR200 kettle 1.5 l", number, "Acme") for i in range(5)] + [listing(i, "Kettle 1.5 l", number, None) for i in (5, 6)]
+    wrong = [listing(7, "Bolt QX300 lamp 40 W, 2 l", number, "Bolt"), listing(8, "Bolt QX300 lamp 40 W, 2 l", None, "Bolt")]
+    assert groups(spark, strong) == set(itertools.combinations(range(7), 2))
+    got = groups(spark, strong + wrong)
+    assert (7, 8) in got and not any(a < 7 <= b for a, b in got) and set(itertools.combinations(range(5), 2)) <= got
+
+
+def test_a_hot_family(spark):
+    rows = [listing(i, "Acme TR200 kettle", f"{i % 3 + 1} l, {'red' if i % 2 else 'blue'}", "Acme", f"{i % 500 + 1}.00") for i in range(3000)]
+    rows += [listing(10_000, "Acme TR200 kettle", "1 l", "Acme"), listing(10_001, "Acme TR200 kettle", "7 l", "Acme"), listing(10_002, "Acme TR200 kettle", "7 l, red", "Acme")]
+    from decimal import Decimal
+
+    df = spark.createDataFrame([(*r[:4], Decimal(r[4]) if r[4] else None, *r[5:]) for r in rows], SCHEMA)
+    got = {r["product_id"]: r["group_id"] for r in pm.group_listings(df).collect()}
+    assert len(set(got.values())) == 1500 + 2 and got[0] == got[1500] and got[10_001] == got[10_002] and list(got.values()).count(got[10_000]) == 1
