@@ -4,12 +4,17 @@ A document with a source of the target table belongs to it. For the others a cla
 predicts how likely each source is. Rates (expected copies) are then fitted between 0 and the permitted repeats so that each
 source's expected tokens meet its target. Documents of equal membership and limit move alike in every step, so the
 iterations run over their sums of tokens: a row for each labelled source and one for each different prediction.
+
+The fit runs twice: over the documents of known source alone, which tells the sources that can't reach their target by themselves (their
+documents stand at their limit and tokens are missing still), and from there over all documents.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
@@ -25,7 +30,7 @@ TOKENIZER: str | None = None
 #: Labelled rows that the classifier is fitted on at most; everything else covers all documents.
 SAMPLE = 20_000
 FEATURES = 1 << 12
-STEPS = 60
+STEPS = 200
 TOLERANCE = 1e-4
 #: Steps of which the updates are chained before the rates are written.
 CHAIN = 8
@@ -55,7 +60,7 @@ def count_tokens(docs: DataFrame, text: str = "text", tokenizer: str | None = TO
 
 
 def predict_sources(labelled: DataFrame, unlabelled: DataFrame, sources: list[str], sample: int = SAMPLE) -> DataFrame:
-    """labelled(doc_id, text, source), unlabelled(doc_id, text) -> (doc_id, m0, m1, ...), probabilities in the order of sources."""
+    """labelled(doc_id, text, source), unlabelled(doc_id, key, text) -> (doc_id, key, m0, m1, ...), probabilities in the order of sources."""
     known = labelled.where("text IS NOT NULL")
     total = known.count()
     place = F.create_map(*[x for i, s in enumerate(sources) for x in (F.lit(s), F.lit(float(i)))])
@@ -65,7 +70,7 @@ def predict_sources(labelled: DataFrame, unlabelled: DataFrame, sources: list[st
     classes = sorted(int(r["label"]) for r in fit.select("label").distinct().collect())
     blank = unlabelled.withColumn("text", F.coalesce("text", F.lit("")))
     if len(classes) < 2:
-        return blank.select("doc_id", *[F.lit(1.0 if i in classes else 0.0).alias(f"m{i}") for i in range(len(sources))])
+        return blank.select("doc_id", "key", *[F.lit(1.0 if i in classes else 0.0).alias(f"m{i}") for i in range(len(sources))])
     back = {c: i for i, c in enumerate(classes)}
     dense = F.create_map(*[x for c, i in back.items() for x in (F.lit(float(c)), F.lit(float(i)))])
     model = Pipeline(
@@ -75,42 +80,79 @@ def predict_sources(labelled: DataFrame, unlabelled: DataFrame, sources: list[st
             LogisticRegression(labelCol="dense", maxIter=20, regParam=1e-3),
         ]
     ).fit(fit.withColumn("dense", F.try_element_at(dense, F.col("label"))))
-    told = model.transform(blank.select("doc_id", "text")).select("doc_id", vector_to_array("probability").alias("p"))
-    return told.select("doc_id", *[(F.round(F.col("p")[back[i]], 6) if i in back else F.lit(0.0)).alias(f"m{i}") for i in range(len(sources))])
+    told = model.transform(blank.select("doc_id", "key", "text")).select("doc_id", "key", vector_to_array("probability").alias("p"))
+    return told.select("doc_id", "key", *[(F.round(F.col("p")[back[i]], 6) if i in back else F.lit(0.0)).alias(f"m{i}") for i in range(len(sources))])
 
 
 def _dot(weights: list[float]) -> Column:
     return reduce(lambda a, b: a + b, [F.col(f"m{i}") * F.lit(w) for i, w in enumerate(weights)])
 
 
-def _stepped(rate: Column, pull: list[float]) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.col("cap"), rate - _dot(pull)))
+class Fit(NamedTuple):
+    """rated: the members with their rate. totals: each source's expected tokens. residual: by how much of all wanted tokens the totals miss the targets."""
+
+    rated: DataFrame
+    totals: list[float]
+    steps: int
+    converged: bool
+    residual: float
 
 
-def fit_rates(members: DataFrame, targets: list[float], steps: int = STEPS, tolerance: float = TOLERANCE) -> tuple[DataFrame, list[float]]:
-    """members(tokens, cap, m0, m1, ...) -> (the same with rate, each source's expected tokens).
+def fit_rates(members: DataFrame, targets: list[float], steps: int = STEPS, tolerance: float = TOLERANCE) -> Fit:
+    """members(tokens, cap, start, m0, m1, ...), start being the first rate.
 
     Minimises the sum over sources of (expected tokens - target)^2 / supply within 0 <= rate <= cap, in steps scaled by
-    the documents' tokens, for which a step of 1 can't overshoot.
-    """
+    the documents' tokens, for which a step of 1 can't overshoot. Every step is one pass over the members by arrays, in which each partition
+    adds up its expected tokens; steps are chained, and the rates written after CHAIN of them. The fit has converged once no source's
+    tokens move by more than tolerance of the mean target."""
     count = len(targets)
     m = [f"m{i}" for i in range(count)]
-    table = checkpoint(members.withColumn("rate", F.least(F.lit(1.0), F.col("cap"))))
-    row = table.agg(*[F.coalesce(F.sum(F.col("tokens") * F.col(c)), F.lit(0.0)).alias(c) for c in m]).first()
-    supply = [float(row[c]) for c in m]
-    whole = max(1.0, sum(targets))
-    rate, chained, last, totals = F.col("rate"), 0, None, supply
-    for _ in range(steps):
-        row = table.agg(*[F.coalesce(F.sum(rate * F.col("tokens") * F.col(c)), F.lit(0.0)).alias(c) for c in m]).first()
-        totals = [float(row[c]) for c in m]
-        if last is not None and max(abs(a - b) for a, b in zip(totals, last)) <= tolerance * whole / count:
-            break
-        last = totals
-        rate = _stepped(rate, [(t - g) / s if s > 0 else 0.0 for t, g, s in zip(totals, targets, supply)])
-        chained += 1
-        if chained == CHAIN:
-            table, rate, chained = checkpoint(table.withColumn("rate", rate)), F.col("rate"), 0
-    return table.withColumn("rate", rate), totals
+    table = checkpoint(members.select("tokens", "cap", F.least("start", "cap").alias("rate"), *m))
+    schema = ", ".join(f"{c} double" for c in m)
+    pulls: list[np.ndarray] = []
+
+    def moved(batch: pa.RecordBatch, chained: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        cap, rate = batch.column("cap").to_numpy(), batch.column("rate").to_numpy()
+        share = np.stack([batch.column(c).to_numpy() for c in m], axis=1)
+        for pull in chained:
+            rate = np.clip(rate - share @ pull, 0.0, cap)
+        return batch.column("tokens").to_numpy().astype(np.float64), rate, share
+
+    def sums(table: DataFrame, weigh: bool) -> np.ndarray:
+        chained = list(pulls)
+
+        def run(batches):
+            for batch in batches:
+                tokens, rate, share = moved(batch, chained)
+                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (tokens * rate if weigh else tokens) @ share], m)
+
+        row = table.mapInArrow(run, schema).agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in m]).first()
+        return np.array([row[c] for c in m], np.float64)
+
+    def rated() -> DataFrame:
+        chained = list(pulls)
+
+        def run(batches):
+            for batch in batches:
+                _, rate, _ = moved(batch, chained)
+                yield pa.RecordBatch.from_arrays([batch.column("tokens"), batch.column("cap"), pa.array(rate), *[batch.column(c) for c in m]], ["tokens", "cap", "rate", *m])
+
+        return table.mapInArrow(run, "tokens long, cap double, rate double, " + schema)
+
+    goals = np.array(targets, np.float64)
+    whole = max(1.0, float(goals.sum()))
+    supply = sums(table, weigh=False)
+    totals, taken, converged = sums(table, weigh=True), 0, False
+    while taken < steps and not converged:
+        pulls.append(np.where(supply > 0, (totals - goals) / np.maximum(supply, 1e-300), 0.0))
+        taken += 1
+        if len(pulls) == CHAIN:
+            table = checkpoint(rated())
+            pulls.clear()
+        after = sums(table, weigh=True)
+        converged = bool(np.abs(after - totals).max(initial=0.0) <= tolerance * whole / count)
+        totals = after
+    return Fit(rated(), totals.tolist(), taken, converged, float(np.abs(totals - goals).sum() / whole))
 
 
 def mix(
@@ -120,8 +162,9 @@ def mix(
 
     targets(source, target_share, max_repeats) must be of bounded size, one row a source. report has a row for each of
     them: own_tokens, wanted_tokens (its share of the tokens of all documents with a source of the table), possible_tokens (own
-    times max_repeats), short (wanted is more than possible), mixed_tokens and expected_share (what the fitted rates give, memberships of
-    unlabelled documents included), actual_tokens and actual_share (what the plan's whole copies give). plan has a row for each document: tokens, rate (expected copies) and
+    times max_repeats), short (fitted by themselves, the source's documents stand at their limit and stay below the target), mixed_tokens and expected_share (what the fitted rates give, memberships of
+    unlabelled documents included), actual_tokens and actual_share (what the plan's whole copies give), converged and residual (the share of all wanted tokens
+    by which the fitted totals miss the targets). plan has a row for each document: tokens, rate (expected copies) and
     copies (whole, the fraction decided by the id's hash).
 
     Defined cases: a null text has no tokens; a null or foreign source makes a document unlabelled; null ids are dropped; equal ids
@@ -133,12 +176,12 @@ def mix(
     )
     goals = sorted(goals.where("source IS NOT NULL").distinct().collect(), key=lambda r: r["source"])
     spark = documents.sparkSession
-    report_schema = "source string, target_share double, max_repeats int, own_tokens long, wanted_tokens double, possible_tokens long, short boolean, mixed_tokens double, expected_share double, actual_tokens double, actual_share double"
+    report_schema = "source string, target_share double, max_repeats int, own_tokens long, wanted_tokens double, possible_tokens long, short boolean, mixed_tokens double, expected_share double, actual_tokens double, actual_share double, converged boolean, residual double"
     plan_schema = "doc_id long, source string, tokens long, rate double, copies long"
     if not goals:
         return spark.createDataFrame([], report_schema), spark.createDataFrame([], plan_schema)
     sources = [r["source"] for r in goals]
-    docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text")).where("doc_id IS NOT NULL")
+    docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).alias("source"), F.xxhash64(text).alias("key"), F.col(text).alias("text")).where("doc_id IS NOT NULL")
     counted = checkpoint(count_tokens(docs, "text", tokenizer))
     listed = F.coalesce(F.col("source").isin(sources), F.lit(False))
     own = {r["source"]: r["t"] for r in counted.where(listed).groupBy("source").agg(F.sum("tokens").alias("t")).collect()}
@@ -149,23 +192,34 @@ def mix(
     one_hot = [F.when(F.col("source") == s, 1.0).otherwise(0.0).alias(c) for s, c in zip(sources, m)]
     labelled = counted.where(listed).select("doc_id", "source", "tokens", *one_hot)
     foreign = counted.where(~listed)
+    cap = F.round(_dot(repeats), 6)
+    known = checkpoint(labelled.withColumn("cap", cap).groupBy(*m, "cap").agg(F.sum("tokens").alias("tokens")))
+    alone = fit_rates(known.withColumn("start", F.lit(1.0)), targets_t)
+    stuck = {i for r in alone.rated.where("rate < cap").collect() for i, c in enumerate(m) if r[c] > 0}
+    short = [i not in stuck and got < goal - 1e-9 * max(1.0, total) for i, (got, goal) in enumerate(zip(alone.totals, targets_t))]
+    labelled = labelled.withColumn("cap", cap)
     if foreign.limit(1).count() and own:
-        told = checkpoint(predict_sources(docs.where(listed), docs.where(~listed), sources, sample).dropDuplicates(["doc_id"]))
-        placed = labelled.unionByName(foreign.join(told, "doc_id"))
+        told = checkpoint(predict_sources(docs.where(listed), docs.where(~listed).dropDuplicates(["doc_id", "key"]), sources, sample))
+        rest = foreign.join(told, ["doc_id", "key"]).drop("key").withColumn("cap", cap)
+        alike = labelled.unionByName(rest).groupBy(*m, "cap").agg(F.sum("tokens").alias("tokens"))
+        begun = alone.rated.select(*m, "cap", F.col("rate").alias("start"))
+        fit = fit_rates(alike.join(F.broadcast(begun), [*m, "cap"], "left").withColumn("start", F.coalesce("start", F.lit(1.0))), targets_t)
+        rest = rest.join(fit.rated.select(*m, "cap", "rate"), [*m, "cap"])
     else:
-        placed = labelled.unionByName(foreign.select("doc_id", "source", "tokens", *[F.lit(0.0).alias(c) for c in m]))
-    placed = placed.withColumn("cap", F.round(_dot(repeats), 6))
-    alike = placed.groupBy(*m, "cap").agg(F.sum("tokens").alias("tokens"))
-    rated, totals = fit_rates(alike, targets_t)
+        fit = alone
+        rest = foreign.select("doc_id", "source", "tokens", *[F.lit(0.0).alias(c) for c in [*m, "cap", "rate"]])
+    # One row for each source: all documents of known source share these few keys.
+    few = fit.rated.join(F.broadcast(known.select(*m, "cap")), [*m, "cap"], "left_semi").select(*m, "cap", "rate")
+    totals = fit.totals
     luck = F.pmod(F.xxhash64("doc_id", F.lit("copies")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     copies = F.floor("rate") + F.when(luck < F.col("rate") - F.floor("rate"), 1).otherwise(0)
-    drawn = placed.join(rated.select(*m, "cap", "rate"), [*m, "cap"]).withColumn("copies", copies)
+    drawn = labelled.join(F.broadcast(few), [*m, "cap"]).unionByName(rest).withColumn("copies", copies)
     row = drawn.agg(*[F.coalesce(F.sum(F.col("copies") * F.col("tokens") * F.col(c)), F.lit(0.0)).alias(c) for c in m]).first()
     built = [float(row[c]) for c in m]
     mixed, whole = sum(totals) or 1.0, sum(built) or 1.0
     rows = []
-    for r, got, real in zip(goals, totals, built):
+    for r, got, real, lacks in zip(goals, totals, built, short):
         tokens, possible = own.get(r["source"], 0), r["repeats"] * own.get(r["source"], 0)
-        rows.append((r["source"], float(r["share"]), r["repeats"], tokens, float(r["share"] * total), possible, bool(r["share"] * total > possible), got, got / mixed, real, real / whole))
+        rows.append((r["source"], float(r["share"]), r["repeats"], tokens, float(r["share"] * total), possible, lacks, got, got / mixed, real, real / whole, fit.converged, fit.residual))
     report = spark.createDataFrame(rows, report_schema)
     return report, drawn.select("doc_id", "source", "tokens", "rate", "copies")

@@ -174,16 +174,33 @@ def test_predictions_are_right_on_held_out_texts(spark):
     topic = {"a": WORDS[:14], "b": WORDS[10:]}
     made = [(i, " ".join(rng.choices(topic[s], k=25)), s) for i, s in enumerate("ab" * 100)]
     labelled = spark.createDataFrame(made[:150], "doc_id long, text string, source string")
-    held = spark.createDataFrame([m[:2] for m in made[150:]], "doc_id long, text string")
+    held = spark.createDataFrame([(m[0], 7, m[1]) for m in made[150:]], "doc_id long, key long, text string")
     told = {r["doc_id"]: r["m0"] for r in mixing.predict_sources(labelled, held, ["a", "b", "c"]).collect()}
     assert sum((told[i] > 0.5) == (s == "a") for i, _, s in made[150:]) >= 45
 
 
 def test_rates_stay_in_their_bounds(spark):
-    members = spark.createDataFrame([(100, 2.0, 1.0, 0.0), (50, 3.0, 0.0, 1.0), (40, 2.5, 0.5, 0.5)], "tokens long, cap double, m0 double, m1 double")
-    rated, totals = mixing.fit_rates(members, [150.0, 400.0])
-    rows = rated.collect()
-    assert all(0 <= r["rate"] <= r["cap"] for r in rows) and totals[0] == pytest.approx(150, rel=0.02) and totals[1] == pytest.approx(200, rel=0.02)
+    members = spark.createDataFrame([(100, 2.0, 1.0, 1.0, 0.0), (50, 3.0, 1.0, 0.0, 1.0), (40, 2.5, 1.0, 0.5, 0.5)], "tokens long, cap double, start double, m0 double, m1 double")
+    fit = mixing.fit_rates(members, [150.0, 400.0])
+    rows = fit.rated.collect()
+    assert all(0 <= r["rate"] <= r["cap"] for r in rows) and fit.totals[0] == pytest.approx(150, rel=0.02) and fit.totals[1] == pytest.approx(200, rel=0.02)
+    assert fit.converged and fit.residual == pytest.approx(200 / 550, rel=0.02)
+    assert not mixing.fit_rates(members, [150.0, 400.0], steps=1).converged
+    assert mixing.fit_rates(members.where("tokens < 0"), [1.0, 1.0]).totals == [0.0, 0.0]
+
+
+def test_the_fit_decides_what_is_short(spark, monkeypatch):
+    from decimal import Decimal
+
+    # Foreign texts could help b out; they don't count for what its own documents reach.
+    rows = [(i, "a", " ".join(WORDS[:12])) for i in range(60)] + [(i, "b", " ".join(WORDS[12:])) for i in range(60, 66)] + [(i, "web", " ".join(WORDS[12:])) for i in range(70, 170)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    goals = spark.createDataFrame([("a", Decimal("0.50"), 1), ("b", Decimal("0.50"), 3)], TARGETS)
+    got = {r["source"]: r for r in mixing.mix(docs, goals)[0].collect()}
+    assert [s for s in "ab" if got[s]["short"]] == ["b"] and got["b"]["expected_share"] > 0.45 and got["b"]["converged"]
+    real = mixing.fit_rates
+    monkeypatch.setattr(mixing, "fit_rates", lambda members, targets, *more: real(members.withColumn("cap", mixing.F.col("cap") * 2), targets, *more))
+    assert not any(r["short"] for r in mixing.mix(docs.where("source != 'web'"), goals)[0].collect())
 
 
 def test_report_gives_the_shares_of_the_copies_drawn(spark):
