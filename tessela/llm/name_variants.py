@@ -2,11 +2,16 @@
 
 Strings that differ only in case, accents, titles, footnote marks, spacing, comma order or joined initials are one form. Forms
 are then attributed: a frequent full form is a candidate for the forms that reach it by an abbreviation, a nickname, a dropped part or a typing
-slip. A form joins the candidate with the greatest posterior, the prior being the candidate's frequency. A slip needs a
+slip. A form joins the candidate with the greatest posterior, the prior being the candidate's frequency. One that could only be a slip is
+also its own candidate, with a prior of its own: it stays by itself where no slip is that likely. A slip needs a
 token that isn't established by itself: a first name seen with several surnames, or a surname seen with several first
 names, is a name of its own, unless slips of a far more frequent neighbour explain how often it is seen.
 
-Candidates meet over keys (surname and first name, each with single characters left out), so nothing is compared within a block.
+Slips of the hand (a neighbouring key, two letters swapped, one doubled or left out) are told from other changed letters, which are rather
+other names. How likely each change is comes from the attributions themselves: they are made with first values, counted, and made again.
+
+Candidates meet over keys (surname and first name, each with single characters left out), frequent keys in blocks; a form is compared with
+those that share a key only, by built-in functions.
 """
 
 from __future__ import annotations
@@ -156,19 +161,6 @@ def parse(name: str | None) -> tuple[str, str, str, str, bool] | None:
     return ("p", "-".join(key(x) for x in raw.split("-") if key(x)) or surname, parts[0], " ".join(parts[1:]), sure)
 
 
-def _field_fits(short: str, full: str) -> bool:
-    """The field of an institution, abbreviated word by word or with one slip."""
-    a, b = short.split(), full.split()
-    if near(short.replace(" ", ""), full.replace(" ", "")):
-        return True
-    return len(a) == len(b) and all(y.startswith(x) and len(x) >= 2 or near(x, y) and len(y) > 4 for x, y in zip(a, b))
-
-
-def _more_fits(a: str, b: str) -> bool:
-    """Middle names: either may be missing; where both stand, each is the other, its initial or one slip away."""
-    return all(x == y or len(x) == 1 and y.startswith(x) or len(y) == 1 and x.startswith(y) or len(x) > 4 and near(x, y) for x, y in zip(a.split(), b.split()))
-
-
 def _minus(word: Column) -> Column:
     """The word, and the word without each one of its characters."""
     n = F.length(word)
@@ -176,54 +168,112 @@ def _minus(word: Column) -> Column:
     return F.array_distinct(F.concat(F.array(word), less))
 
 
-# Natural logarithms of how likely a writer chooses a change of the kind; a slip is rarer than an abbreviation.
-_LIKELY = {"same": 0.0, "middle": -1.2, "initial": -1.6, "nickname": -1.8, "part": -2.3, "abbreviation": -1.2, "slip": -3.9}
-
-
-def _score(rows: pd.DataFrame) -> pd.Series:
-    """Log-likelihood that a writer of form b leaves form a, for candidate pairs; NaN where it isn't possible."""
-    out = []
-    for r in rows.itertuples(index=False):
-        cost = 0.0
-        if r.sort == "i":
-            if r.first_a != r.first_b or r.head_a != r.head_b and not near(r.head_a, r.head_b):
-                out.append(float("nan"))
-                continue
-            if r.head_a != r.head_b:
-                cost += _LIKELY["slip"] if not r.own_head_a else -20.0
-            if r.more_a != r.more_b:
-                if not _field_fits(r.more_a, r.more_b):
-                    out.append(float("nan"))
-                    continue
-                cost += _LIKELY["slip" if near(r.more_a.replace(" ", ""), r.more_b.replace(" ", "")) else "abbreviation"]
-            out.append(cost if cost > -8 else float("nan"))
-            continue
-        head_a, head_b = r.head_a.replace("-", ""), r.head_b.replace("-", "")
-        if head_a != head_b:
-            if r.head_a in r.head_b.split("-"):
-                cost += _LIKELY["part"]
-            elif near(head_a, head_b) and len(head_b) > 4 and not r.own_head_a:
-                cost += _LIKELY["slip"]
-            else:
-                out.append(float("nan"))
-                continue
-        if r.first_a != r.first_b:
-            if len(r.first_a) == 1 and r.first_b.startswith(r.first_a):
-                cost += _LIKELY["initial"]
-            elif _full(r.first_a) & _full(r.first_b) or len(r.first_a) == 3 and r.first_b.startswith(r.first_a) and not r.own_first_a:
-                cost += _LIKELY["nickname"]
-            elif len(r.first_a) > 2 and near(r.first_a, r.first_b) and not r.own_first_a:
-                cost += _LIKELY["slip"]
-            else:
-                out.append(float("nan"))
-                continue
-        if r.more_a != r.more_b:
-            if not _more_fits(r.more_a, r.more_b):
-                out.append(float("nan"))
-                continue
-            cost += _LIKELY["middle"]
-        out.append(cost if cost > -8 else float("nan"))
-    return pd.Series(out, dtype="float64")
+# Natural logarithms of how likely a writer chooses a change of the kind, before any are counted; a slip is rarer than an abbreviation.
+_LIKELY = {"middle": -1.2, "initial": -1.6, "nickname": -1.8, "part": -2.3, "abbreviation": -1.2, "slip": -3.9, "far": -9.0}
+#: The same of a spelling that isn't established being a name of its own.
+_OWN = -8.0
+#: Rounds in which the likelihoods are counted, and the uses that the first values weigh as much as.
+ROUNDS, PSEUDO_USES = 2, 2_000
+#: Forms under one key that are compared within a group; a longer list is split.
+BLOCK = 512
+# The rows of a keyboard; neighbours are found from them by rule.
+_KEYBOARD = ("qwertyuiop", "asdfghjkl", "zxcvbnm")
+
+
+def _neighbours() -> list[str]:
+    place = {c: (row, at + row / 2) for row, keys in enumerate(_KEYBOARD) for at, c in enumerate(keys)}
+    return sorted(a + b for a, (r, x) in place.items() for b, (s, y) in place.items() if a != b and abs(r - s) <= 1 and abs(x - y) <= 1)
+
+
+def _change(a: Column, b: Column) -> Column:
+    """0 for equal words, 1 for one slip of the hand, 2 for another single change of a letter, null for anything else."""
+    places = F.sequence(F.lit(1), F.length(a))
+    at = F.element_at(F.filter(places, lambda i: F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1))), 1)
+    near = F.concat(F.substring(a, at, F.lit(1)), F.substring(b, at, F.lit(1))).isin(_neighbours())
+    swaps = F.sequence(F.lit(1), F.length(a) - 1)
+    swapped = F.exists(swaps, lambda i: F.concat(F.substring(a, F.lit(1), i - 1), F.substring(a, i + 1, F.lit(1)), F.substring(a, i, F.lit(1)), F.substring(a, i + 2, F.length(a))) == b)
+    return (
+        F.when(a == b, 0)
+        .when(F.length(a) != F.length(b), F.when(F.levenshtein(a, b, 1) == 1, 1))
+        .when(F.levenshtein(a, b, 1) == 1, F.when(near, 1).otherwise(2))
+        .when((F.length(a) >= 2) & (F.levenshtein(a, b, 2) == 2), F.when(swapped, 1))
+    )
+
+
+def _words(c: Column) -> Column:
+    return F.filter(F.split(c, " "), lambda w: w != "")
+
+
+def _whole(first: Column) -> Column:
+    """The first name and the full forms for which it stands."""
+    nick = F.create_map(*[x for short in sorted(_FULL) for x in (F.lit(short), F.array(*map(F.lit, sorted(_FULL[short]))))])
+    return F.array_union(F.array(first), F.coalesce(F.try_element_at(nick, first), F.array().cast("array<string>")))
+
+
+def _changes(pairs: DataFrame) -> DataFrame:
+    """pairs of forms a and b -> the same with how many changes of each kind lead from b to a; pairs that none lead to are left out."""
+    c = F.col
+    zero = F.lit(0)
+    head_a, head_b = F.regexp_replace("head_a", "-", ""), F.regexp_replace("head_b", "-", "")
+    head, first, field = _change(head_a, head_b), _change(c("first_a"), c("first_b")), _change(F.regexp_replace("more_a", " ", ""), F.regexp_replace("more_b", " ", ""))
+    place = _change(c("head_a"), c("head_b"))
+    told = pairs.select("*", head.alias("d_head"), first.alias("d_first"), field.alias("d_field"), place.alias("d_place"), _words(c("more_a")).alias("w_a"), _words(c("more_b")).alias("w_b"))
+    paired = F.arrays_zip(F.slice("w_a", F.lit(1), F.least(F.size("w_a"), F.size("w_b"))).alias("x"), F.slice("w_b", F.lit(1), F.least(F.size("w_a"), F.size("w_b"))).alias("y"))
+    one = lambda x, y: _change(x, y).isNotNull()
+    # The field of an institution, abbreviated word by word; middle names, of which either may be missing or an initial.
+    shortened = (F.size("w_a") == F.size("w_b")) & F.forall(paired, lambda p: (F.length(p["x"]) >= 2) & p["y"].startswith(p["x"]) | (F.length(p["y"]) > 4) & one(p["x"], p["y"]))
+    middle = F.forall(
+        paired,
+        lambda p: (p["x"] == p["y"]) | (F.length(p["x"]) == 1) & p["y"].startswith(p["x"]) | (F.length(p["y"]) == 1) & p["x"].startswith(p["y"]) | (F.length(p["x"]) > 4) & one(p["x"], p["y"]),
+    )
+    person = c("sort") == "p"
+    part = person & (c("d_head") != 0) & F.array_contains(F.split("head_b", "-"), c("head_a")) | person & c("d_head").isNull() & F.array_contains(F.split("head_b", "-"), c("head_a"))
+    head_slip = F.when(~person, F.when(c("d_place") == 0, 0).when(~c("own_head_a"), c("d_place"))).otherwise(
+        F.when((c("d_head") == 0) | part, 0).when((F.length(head_b) > 4) & ~c("own_head_a"), c("d_head"))
+    )
+    initial = person & (c("first_a") != c("first_b")) & (F.length("first_a") == 1) & c("first_b").startswith(c("first_a"))
+    clipped = (F.length("first_a") == 3) & c("first_b").startswith(c("first_a")) & ~c("own_first_a")
+    nickname = person & (c("first_a") != c("first_b")) & ~initial & (F.arrays_overlap(_whole(c("first_a")), _whole(c("first_b"))) | clipped)
+    first_slip = F.when(c("first_a") == c("first_b"), 0).when(~person, F.lit(None).cast("int")).when(initial | nickname, 0).when((F.length("first_a") > 2) & ~c("own_first_a"), c("d_first"))
+    same = c("more_a") == c("more_b")
+    field_slip = F.when(person | same, 0).when(c("d_field").isNotNull(), c("d_field")).when(shortened, 0)
+    ones = lambda b: b.cast("int")
+    counted = told.where(~person | same | middle).select(
+        *pairs.columns, head_slip.alias("s1"), first_slip.alias("s2"), field_slip.alias("s3"), ones(initial).alias("initial"), ones(nickname).alias("nickname"), ones(part).alias("part"),
+        ones(person & ~same).alias("middle"), ones(~person & ~same & c("d_field").isNull()).alias("abbreviation"),
+    )
+    slips = sum((F.when(c(s) == 1, 1).otherwise(zero) for s in ("s1", "s2", "s3")), zero)
+    far = sum((F.when(c(s) == 2, 1).otherwise(zero) for s in ("s1", "s2", "s3")), zero)
+    return counted.where("s1 IS NOT NULL AND s2 IS NOT NULL AND s3 IS NOT NULL").withColumn("slip", slips).withColumn("far", far)
+
+
+def _attributed(scored: DataFrame, likely: dict[str, float]) -> DataFrame:
+    """scored(a, b, n_a, n_b, changes) -> (a, b, n_a, changes) of each form's candidate with the greatest posterior, where it has any but itself."""
+    cost = sum((F.col(k) * F.lit(v) for k, v in likely.items()), F.lit(0.0))
+    rated = scored.withColumn("p", F.log("n_b") + cost).where((F.col("slip") + F.col("far") == 0) | (F.col("p") > F.log("n_a") + F.lit(_OWN)))
+    return rated.groupBy("a").agg(F.max_by(F.struct("b", "n_a", *likely), F.struct("p", "b")).alias("x")).select("a", "x.*")
+
+
+def _counted(scored: DataFrame, uses: int) -> dict[str, float]:
+    """The logarithms of the changes' shares of all uses, counted over the attributions that they themselves lead to. Other changed letters keep
+    their first value: those that are found may as well be other names, and counting them would make them likelier from round to round."""
+    likely = dict(_LIKELY)
+    for _ in range(ROUNDS):
+        row = _attributed(scored, likely).agg(*[F.coalesce(F.sum(F.col(k) * F.col("n_a")), F.lit(0)).alias(k) for k in likely]).first()
+        likely = {k: first if k == "far" else math.log((row[k] + PSEUDO_USES * math.exp(first)) / (uses + PSEUDO_USES)) for k, first in _LIKELY.items()}
+    return likely
+
+
+def _met(left: DataFrame, right: DataFrame, block: int) -> DataFrame:
+    """left(key, a, ...), right(key, b, ...) joined on the key; a list of right rows longer than a block is split, and left rows meet each part."""
+    sizes = right.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).select("key", F.ceil(F.col("n") / F.lit(block)).cast("int").alias("parts"))
+    sizes = checkpoint(sizes)
+    if not sizes.limit(1).count():
+        return left.join(right, "key")
+    parts = F.coalesce("parts", F.lit(1))
+    own = right.join(sizes, "key", "left").withColumn("part", F.pmod(F.xxhash64("b"), parts)).drop("parts")
+    every = left.join(sizes, "key", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), (parts - 1).cast("long")))).drop("parts")
+    return every.join(own, ["key", "part"]).drop("part")
 
 
 def _established(tokens: DataFrame, least: int, counts: tuple[str, ...]) -> DataFrame:
@@ -234,20 +284,16 @@ def _established(tokens: DataFrame, least: int, counts: tuple[str, ...]) -> Data
 
     def keyed(df: DataFrame, s: str) -> DataFrame:
         joined = F.regexp_replace("word", "-", "")
-        return df.where(F.length(joined) > 2).select("sort", *[F.col(c).alias(f"{c}_{s}") for c in ("word", "d", "uses")], joined.alias(f"joined_{s}"), F.explode(_minus(joined)).alias("key"))
+        keys = F.transform(_minus(joined), lambda x: F.xxhash64("sort", x))
+        return df.where(F.length(joined) > 2).select("sort", *[F.col(c).alias(f"{c}_{s}") for c in ("word", "d", "uses")], joined.alias(f"joined_{s}"), F.explode(keys).alias("key"))
 
-    met = keyed(able, "a").join(keyed(tokens, "b"), ["sort", "key"]).where("joined_a != joined_b")
+    met = keyed(able, "a").join(keyed(tokens, "b").drop("sort"), "key").where("joined_a != joined_b")
     explained = F.lit(False)
     for c in counts:
         slips = F.col(f"{c}_b") * F.lit(share)
         explained = explained | (F.col(f"{c}_a") <= slips + 3 * F.sqrt(slips))
-    met = met.where((F.col("uses_b") > F.col("uses_a")) & explained).select("sort", F.col("word_a").alias("word"), "joined_a", "joined_b").distinct()
-
-    def run(batches):
-        for pdf in batches:
-            yield pdf.loc[[near(a, b) for a, b in zip(pdf["joined_a"], pdf["joined_b"])], ["sort", "word"]]
-
-    return able.select("sort", "word").join(met.mapInPandas(run, "sort string, word string").distinct(), ["sort", "word"], "left_anti")
+    met = met.where((F.col("uses_b") > F.col("uses_a")) & explained & _change(F.col("joined_a"), F.col("joined_b")).isNotNull())
+    return able.select("sort", "word").join(met.select("sort", F.col("word_a").alias("word")).distinct(), ["sort", "word"], "left_anti")
 
 
 def _forms(strings: DataFrame) -> DataFrame:
@@ -272,7 +318,7 @@ def _forms(strings: DataFrame) -> DataFrame:
     )
 
 
-def link_names(df: DataFrame, id_col: str, names_col: str) -> DataFrame:
+def link_names(df: DataFrame, id_col: str, names_col: str, block: int = BLOCK) -> DataFrame:
     """(name, entity): every string of names_col that names someone or something, with the entity it is attributed to.
 
     Defined cases: nulls, blanks, "et al" forms and single words that name no institution are no names and give no rows; rows
@@ -289,51 +335,41 @@ def link_names(df: DataFrame, id_col: str, names_col: str) -> DataFrame:
     heads = _established(heads, 2, ("uses",)).select("sort", F.col("word").alias("head"), F.lit(True).alias("own_head"))
     forms = forms.join(firsts, ["sort", "first"], "left").join(heads, ["sort", "head"], "left")
     forms = checkpoint(forms.select(F.xxhash64(*shape).alias("f"), *shape, "n", F.coalesce("own_first", F.lit(False)).alias("own_first"), F.coalesce("own_head", F.lit(False)).alias("own_head")))
-    nick = F.create_map(*[x for short in sorted(_FULL) for x in (F.lit(short), F.array(*map(F.lit, sorted(_FULL[short]))))])
-    wholes = F.array_union(F.array("first"), F.coalesce(F.try_element_at(nick, F.col("first")), F.array().cast("array<string>")))
     joined = F.regexp_replace("head", "-", "")
     person, full = F.col("sort") == "p", F.length("first") > 1
-    plain = forms.withColumn("joined", joined)
-    keyed = plain.withColumn("whole", F.explode(wholes))
-    k = lambda tag, *parts: F.concat_ws("|", F.lit(tag), *parts)
-    # The same keys on both sides; each names what has to agree.
+    # The order in which forms may lead: established tokens first, then, of institutions, the fuller, then the more frequent; ties by number.
+    rank = F.when(person, F.col("own_first").cast("int") + F.col("own_head").cast("int")).otherwise(F.least(F.length("more"), F.lit(255)))
+    most = F.least(F.col("n"), F.lit((1 << 36) - 1))
+    lead = F.shiftleft(rank.cast("long"), 52) + F.shiftleft(most, 16) + F.shiftleft(F.least(F.length("more"), F.lit(255)).cast("long"), 8) + F.least(F.length("first"), F.lit(255))
+    plain = forms.withColumn("joined", joined).withColumn("lead", lead)
+    keyed = plain.withColumn("whole", F.explode(_whole(F.col("first"))))
+    k = lambda tag, *parts: F.xxhash64(F.lit(tag), *parts)
+    # The same keys on both sides; each names what has to agree. Under an initial only short forms look for full ones, and clipped ones under three letters.
+    row = lambda df, key, asks: df.select("f", key.alias("key"), asks.alias("asks"), (F.length("first") == 1).alias("short"), "lead")
+    short, clipped, yes = F.length("first") == 1, F.length("first") == 3, F.lit(True)
     tables = [
-        plain.where(person & full).select("f", F.explode(F.transform(_minus(F.col("first")), lambda x: k("first", F.col("joined"), x))).alias("key")),
-        keyed.where(person & full).select("f", k("nick", F.col("joined"), F.col("whole")).alias("key")),
-        keyed.where(person & full).select("f", F.explode(F.transform(_minus(F.col("joined")), lambda x: k("head", F.col("whole"), x))).alias("key")),
-        keyed.where(person & full & F.col("head").contains("-")).select("f", F.explode(F.transform(F.split("head", "-"), lambda x: k("nick", x, F.col("whole")))).alias("key")),
-        plain.where(person & full).select("f", k("three", F.col("joined"), F.substring("first", 1, 3)).alias("key")),
-        keyed.where(person).select("f", k("initial", F.col("joined"), F.substring("whole", 1, 1)).alias("key")),
-        plain.where(~person).select("f", k("place", F.col("head"), F.col("first")).alias("key")),
-        plain.where(~person).select("f", F.explode(F.transform(_minus(F.col("head")), lambda x: k("field", F.col("first"), F.regexp_replace("more", " ", ""), x))).alias("key")),
+        row(plain.where(person & full), F.explode(F.transform(_minus(F.col("first")), lambda x: k("first", F.col("joined"), x))), yes),
+        row(keyed.where(person & full), k("nick", F.col("joined"), F.col("whole")), yes),
+        row(keyed.where(person & full), F.explode(F.transform(_minus(F.col("joined")), lambda x: k("head", F.col("whole"), x))), yes),
+        row(keyed.where(person & full & F.col("head").contains("-")), F.explode(F.transform(F.split("head", "-"), lambda x: k("nick", x, F.col("whole")))), yes),
+        row(plain.where(person & full), k("three", F.col("joined"), F.substring("first", 1, 3)), clipped),
+        row(keyed.where(person), k("initial", F.col("joined"), F.substring("whole", 1, 1)), short),
+        row(plain.where(~person), k("place", F.col("head"), F.col("first")), yes),
+        row(plain.where(~person), F.explode(F.transform(_minus(F.col("head")), lambda x: k("field", F.col("first"), F.regexp_replace("more", " ", ""), x))), yes),
     ]
     keys = tables[0]
     for t in tables[1:]:
         keys = keys.unionByName(t)
-    # The order in which forms may lead: established tokens first, then, of institutions, the fuller, then the more frequent.
-    settled = F.col("own_first").cast("int") + F.col("own_head").cast("int")
-    lead = F.struct(
-        F.when(person, settled).otherwise(F.length("more")).alias("x"), F.col("n").alias("n"), F.length("more").alias("size"), F.length("first").alias("long"), F.col("f").alias("f")
-    )
-    short = forms.select("f", (F.length("first") == 1).alias("short"), (F.length("first") == 3).alias("clipped"), lead.alias("lead"))
-    keys = checkpoint(keys.distinct().join(short, "f"))
-    # Under an initial only short forms look for full ones; elsewhere a form looks for the more frequent ones, or fuller ones.
-    asks = F.when(F.col("key").startswith("initial|"), F.col("short")).when(F.col("key").startswith("three|"), F.col("clipped")).otherwise(F.lit(True))
-    left = keys.where(asks).select("key", F.col("f").alias("a"), F.col("lead").alias("lead_a"), F.col("short").alias("short_a"))
+    keys = checkpoint(keys)
+    left = keys.where("asks").select("key", F.col("f").alias("a"), F.col("lead").alias("lead_a"), F.col("short").alias("short_a"))
     right = keys.where(~F.col("short")).select("key", F.col("f").alias("b"), F.col("lead").alias("lead_b"))
-    met = left.join(right, "key").where("a != b").where(F.col("short_a") | (F.col("lead_b") > F.col("lead_a")))
+    met = _met(left, right, block).where("a != b").where(F.col("short_a") | (F.col("lead_b") > F.col("lead_a")) | (F.col("lead_b") == F.col("lead_a")) & (F.col("b") > F.col("a")))
     met = met.select("a", "b").distinct()
-    side = lambda s: forms.select(F.col("f").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("head", "first", "more", "n", "own_first", "own_head")])
-    pairs = met.join(forms.select(F.col("f").alias("a"), "sort"), "a").join(side("a"), "a").join(side("b"), "b")
-
-    def run(batches):
-        for pdf in batches:
-            cost = _score(pdf)
-            keep = cost.notna().to_numpy()
-            yield pd.DataFrame({"a": pdf["a"][keep], "b": pdf["b"][keep], "n_b": pdf["n_b"][keep], "cost": cost.to_numpy()[keep]})
-
-    scored = pairs.mapInPandas(run, "a long, b long, n_b long, cost double")
-    best = scored.groupBy("a").agg(F.max_by("b", F.struct((F.log("n_b") + F.col("cost")).alias("p"), F.col("b"))).alias("b"))
+    side = lambda s, *more: forms.select(F.col("f").alias(s), *more, *[F.col(c).alias(f"{c}_{s}") for c in ("head", "first", "more", "n", "own_first", "own_head")])
+    pairs = met.join(side("a", "sort"), "a").join(side("b"), "b")
+    scored = checkpoint(_changes(pairs).select("a", "b", "n_a", "n_b", *_LIKELY))
+    uses = forms.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    best = _attributed(scored, _counted(scored, uses)).select("a", "b")
     root = written(forms.select(F.col("f").alias("a")).join(best, "a", "left").select("a", F.coalesce("b", "a").alias("b")))
     # Attributions lead to more frequent or fuller forms; following them doubles its stride until all are at their ends.
     while True:

@@ -52,6 +52,26 @@ def test_repeats_of_one_slip_establish_no_name(spark):
     assert linked(spark, rows) == sorted(expected, key=sorted)
 
 
+def test_a_name_may_be_its_own(spark):
+    rows = ["Karl Hansen"] * 50 + ["Karl Hanson"] * 49 + ["Anna Grotrekar"] * 50 + ["Anna Grotrejar"] * 20 + ["Anna Grotrekra"] * 2 + ["Boris Flumdeik"] * 50 + ["Boris Flumdoik"]
+    assert linked(spark, rows) == sorted([{"Karl Hansen"}, {"Karl Hanson"}, {"Anna Grotrekar", "Anna Grotrejar", "Anna Grotrekra"}, {"Boris Flumdeik", "Boris Flumdoik"}], key=sorted)
+
+
+@pytest.mark.parametrize(("a", "b", "kind"), [("smith", "smith", 0), ("smith", "smiht", 1), ("smith", "smth", 1), ("smith", "smitth", 1), ("smith", "smirh", 1), ("smith", "smath", 2), ("smith", "stihm", None), ("a", "b", 2), ("", "", 0), ("", "b", 1), ("ab", "ba", 1)])
+def test_kinds_of_change(spark, a, b, kind):
+    df = spark.createDataFrame([(a, b)], "a string, b string")
+    assert df.select(nv._change(nv.F.col("a"), nv.F.col("b"))).first()[0] == kind
+    assert (kind is not None) is nv.near(a, b)
+
+
+def test_split_keys_change_nothing(spark):
+    firsts = ["Anna", "Anne", "Annika", "Arno", "Axel", "Adam", "Alina", "Alfred"]
+    rows = [f"{f} Grotrekar" for f in firsts] * 3 + ["A Grotrekar", "A. B. Grotrekar", "Anna B. Grotrekar", "Grotrekar, Axle"]
+    df = spark.createDataFrame([(i, [n]) for i, n in enumerate(rows)], "id int, authors array<string>")
+    one, two = ({(r["name"], r["entity"]) for r in nv.link_names(df, "id", "authors", block).collect()} for block in (512, 2))
+    assert one == two
+
+
 def test_pairs_order_and_empty(spark):
     df = spark.createDataFrame([(1, ["Anna Grotrekar", "anna grotrekar", None]), (1, ["Anna Grotrekar", "anna grotrekar", None]), (2, None), (3, [])], "id int, authors array<string>")
     assert [tuple(r) for r in nv.variant_pairs(df, "id", "authors").collect()] == [("Anna Grotrekar", "anna grotrekar")]
