@@ -53,3 +53,15 @@ def distance(embedding: Column, query: Sequence[float], metric: str = "cosine")
         lambda s: F.when((s["n"] == 0) | F.lit(length == 0), F.lit(float("nan"))).otherwise(1 - s["p"] / (F.sqrt(F.greatest(s["n"], F.lit(5e-324))) * F.lit(length or 1.0))),
     )
     return both
+
+
+def between(a: Column, b: Column, metric: str = "cosine") -> Column:
+    """The same distances between two columns of equally long arrays of doubles."""
+    if metric not in METRICS:
+        raise ValueError(f"unknown distance metric: {metric}")
+    if metric == "l2":
+        return F.sqrt(_sum(F.zip_with(a, b, lambda x, y: (x - y) * (x - y))))
+    if metric == "inner_product":
+        return -_sum(F.zip_with(a, b, lambda x, y: x * y))
+    lengths = F.sqrt(_sum(F.transform(a, lambda x: x * x))) * F.sqrt(_sum(F.transform(b, lambda x: x * x)))
+    return F.when(lengths == 0, F.lit(float("nan"))).otherwise(1 - _sum(F.zip_with(a, b, lambda x, y: x * y)) / F.greatest(lengths, F.lit(5e-324)))

@@ -14,6 +14,8 @@ from tessela.operators.relational import hash_join
 
 #: A side with fewer rows is broadcast.
 BROADCAST_BELOW = 1000
+#: A side of more rows is never broadcast, not even on demand.
+BROADCAST_BOUND = 1_000_000
 NODE_SCHEMA = "node_id string, host string, port int, is_active boolean, load_factor double"
 PARTITION_SCHEMA = "partition_id string, table_name string, partition_key string, row_count long, size_mb double, node_id string"
 
@@ -35,10 +37,15 @@ class Partitioning:
         return list(range(self.partitions))
 
     def scan(self, df: DataFrame, predicate: Mapping[str, tuple[str, object]] | None = None, condition: Column | str | None = None, name: str = "partition") -> DataFrame:
-        """Rows of the target partitions only. Over a table that is laid out by the id column, Spark reads their folders only."""
-        laid_out = df if name in df.columns else self.assign(df, name)
-        kept = laid_out.where(F.col(name).isin(self.targets(predicate)))
-        return kept if condition is None else kept.where(condition)
+        """Rows of the target partitions only. Over a table that is laid out by the id column, Spark reads their folders only; over any other
+        the ids are computed for the rows that are read. The condition itself, if given, reaches the files in both cases."""
+        kept = df if condition is None else df.where(condition)
+        laid_out = kept if name in df.columns else self.assign(kept, name)
+        return laid_out.where(F.col(name).isin(self.targets(predicate)))
+
+    def read(self, spark: SparkSession, path: str, predicate: Mapping[str, tuple[str, object]] | None = None, condition: Column | str | None = None, name: str = "partition") -> DataFrame:
+        """Rows of the target partitions of a table that write() laid out."""
+        return self.scan(spark.read.parquet(path), predicate, condition, name)
 
     def write(self, df: DataFrame, path: str, name: str = "partition") -> None:
         self.assign(df, name).repartition(name).write.mode("overwrite").partitionBy(name).parquet(path)
@@ -111,8 +118,13 @@ def colocated_join(left: DataFrame, right: DataFrame, key: str, partitions: int
     return hash_join(left, right, key, key, null_safe=False)
 
 
-def broadcast_join(left: DataFrame, right: DataFrame, key: str, left_rows: int, right_rows: int) -> DataFrame:
-    """The smaller side is sent to all tasks; of equal sides it is the right one. Callers give counted sizes."""
+def broadcast_join(left: DataFrame, right: DataFrame, key: str, left_rows: int | None = None, right_rows: int | None = None, bound: int = BROADCAST_BOUND) -> DataFrame:
+    """The smaller side is sent to all tasks; of equal sides it is the right one. A side without a given count is counted, up to the
+    bound; if both sides are larger than that, ValueError."""
+    left_rows = left.limit(bound + 1).count() if left_rows is None else left_rows
+    right_rows = right.limit(bound + 1).count() if right_rows is None else right_rows
+    if min(left_rows, right_rows) > bound:
+        raise ValueError(f"both sides have more than {bound} rows")
     if left_rows < right_rows:
         return hash_join(left.hint("broadcast"), right, key, key, null_safe=True)
     return hash_join(left, right, key, key, null_safe=True, hint="broadcast")

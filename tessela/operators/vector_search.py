@@ -8,10 +8,10 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessela.functions.distance import distance
+from tessela.functions.distance import between, distance
 
 
 def vector_search(
@@ -42,14 +42,35 @@ class InvertedLists:
 
     def search(self, query: Sequence[float], k: int = 10, probes: int = 10, metric: str = "cosine", where: Column | str | None = None, tie: str | None = None) -> DataFrame:
         """Exact top-k within the probed lists; with probes equal to the number of lists the result is exact. Rows
-        without a vector are in no list."""
+        without a vector are in no list. Over written lists only the probed lists' folders are read."""
         lists = self.probe(query, probes)
         kept = self.rows.where(F.col("list_id").isin(lists))
         return vector_search(kept, self.column, query, k, metric, where, tie).drop("list_id")
 
+    def search_many(self, queries: DataFrame, id_column: str, k: int = 10, probes: int = 10, metric: str = "cosine") -> DataFrame:
+        """queries(query_id, query) -> (query_id, id, distance, rank): the k best rows of the probed lists for every query.
+
+        Queries meet the rows of their lists, so the work is that of the probed rows; ties go to the smaller id."""
+        few = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in self.centroids])
+        gaps = F.transform(few, lambda c: F.aggregate(F.zip_with(c, F.col("query"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
+        nearest = F.slice(F.array_sort(F.transform(gaps, lambda g, i: F.struct(g.alias("gap"), i.alias("list_id")))), 1, probes)
+        asked = queries.where("query IS NOT NULL").select("query_id", F.col("query").cast("array<double>").alias("query")).select("query_id", "query", F.explode(F.transform(nearest, lambda s: s["list_id"])).alias("list_id"))
+        met = self.rows.select("list_id", F.col(id_column).alias("id"), F.col(self.column).cast("array<double>").alias("v")).join(asked, "list_id")
+        ranked = met.select("query_id", "id", between(F.col("v"), F.col("query"), metric).alias("distance"))
+        order = Window.partitionBy("query_id").orderBy(F.asc_nulls_last("distance"), "id")
+        return ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
     def write(self, path: str) -> None:
-        """Rows laid out by list, so a probe reads the probed lists' folders only."""
-        self.rows.repartition("list_id").write.mode("overwrite").partitionBy("list_id").parquet(path)
+        """Rows laid out by list, so a probe reads the probed lists' folders only, and the centroids beside them."""
+        self.rows.repartition("list_id").write.mode("overwrite").partitionBy("list_id").parquet(f"{path}/rows")
+        centroids = [(i, [float(x) for x in c]) for i, c in enumerate(self.centroids)]
+        self.rows.sparkSession.createDataFrame(centroids, "list_id int, centroid array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
+
+    @staticmethod
+    def open(spark: SparkSession, path: str, column: str) -> InvertedLists:
+        """Lists that were written before; nothing is assigned again."""
+        centroids = [r["centroid"] for r in spark.read.parquet(f"{path}/centroids").orderBy("list_id").collect()]
+        return InvertedLists(spark.read.parquet(f"{path}/rows"), column, np.array(centroids))
 
 
 def build_inverted_lists(df: DataFrame, column: str, lists: int = 100, seed: int = 42, sample: int = 100_000, iterations: int = 10) -> InvertedLists:

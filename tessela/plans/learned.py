@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
@@ -19,6 +19,7 @@ FEATURES = (
     "has_vector_search", "log_vector_k", "vector_table_ratio", "num_joins", "avg_log_ndv", "std_log_ndv", "avg_null_frac", "max_null_frac", "avg_has_index", "avg_join_sel", "min_join_sel",
 )
 LEAST_EXAMPLES = 50
+MOST_EXAMPLES = 20_000
 WEIGHTS = {"histogram": 0.3, "ml": 0.5, "sampling": 0.2}
 
 
@@ -139,6 +140,14 @@ class SelectivityModel:
     def add(self, features: QueryFeatures, actual: float) -> None:
         self.examples.append((features, actual))
 
+    def learn_from(self, observed: DataFrame, most: int = MOST_EXAMPLES) -> None:
+        """Adds the examples of a table with a column for each field of QueryFeatures and ``actual``, as observed_selectivities() gives it. Models are
+        fitted on the driver's bounded store; of more rows than ``most`` those with the smallest hashes are taken."""
+        names = [f.name for f in fields(QueryFeatures)]
+        held = observed.select(*names, "actual").withColumn("h", F.xxhash64(*names, "actual")).orderBy("h").limit(most)
+        for row in held.collect():
+            self.add(QueryFeatures(**{n: row[n] for n in names}), float(row["actual"]))
+
     def _frame(self, rows: Sequence[QueryFeatures], actual: Sequence[float] | None = None) -> DataFrame:
         data = [(i, *f.vector(), float(actual[i]) if actual else 0.0) for i, f in enumerate(rows)]
         return self.spark.createDataFrame(data, ", ".join(["no int", *[f"{n} double" for n in FEATURES], "actual double"])).coalesce(1)

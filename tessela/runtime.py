@@ -6,11 +6,15 @@ import pickle
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 #: A side is broadcast by hand only when it has at most this many rows.
 BROADCAST_ROWS = 20_000
 
@@ -70,6 +74,23 @@ def clean_up(spark: SparkSession) -> None:
         _delete(spark, spark.sparkContext.getCheckpointDir())
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder, for a layout or an index of this session."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+
+
+_KEPT: dict[tuple, object] = {}
+
+
+def once(spark: SparkSession, key: tuple, build: Callable[[], T]) -> T:
+    """What build() gives, made once a session: layouts, indexes and statistics are made when data are loaded, not when they are queried."""
+    full = (spark.sparkContext.applicationId, spark.sparkContext.getCheckpointDir(), *key)
+    if full not in _KEPT:
+        _KEPT[full] = build()
+    return _KEPT[full]
+
+
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast when a counted bound proves the side small; else leave the choice to the shuffle join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

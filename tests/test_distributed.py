@@ -68,3 +68,30 @@ def test_null_keys(spark):
 
 def test_gather(spark):
     assert distributed.gather([spark.range(2), spark.range(2)]).count() == 4
+
+
+def test_layouts_are_read_in_part_and_joined_in_place(spark, data):
+    from tessela import catalog
+
+    plan = lambda name: catalog.queries()[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan("join_colocated")
+    assert "PartitionFilters: [isnotnull(partition" in plan("pruned_scan") and "PartitionFilters: [isnotnull(year" in plan("orders_by_year")
+    assert "PartitionFilters: [list_id" in plan("ivf_probe")
+    assert "PushedFilters: [IsNotNull(o_custkey), EqualTo(o_custkey,37)" in plan("pruned_lookup")
+    pruned = catalog.queries()["pruned_scan"](spark, data)
+    assert {r[0].split("/")[-2] for r in pruned.select(F.input_file_name()).distinct().collect()} == {f"partition={literal_id(37, 8)}"} or pruned.count() == 0
+
+
+def test_large_sides_are_not_broadcast(spark):
+    a = spark.range(50).withColumnRenamed("id", "k")
+    with pytest.raises(ValueError):
+        distributed.broadcast_join(a, a, "k", bound=20)
+    assert distributed.broadcast_join(a, a.where("k < 5"), "k", bound=20).count() == 5
+
+
+def test_explain_analyze(spark, data):
+    from tessela.operators import explain
+
+    text = explain.explain_analyze(spark.read.parquet(f"{data}/part.parquet").where("p_size < 25").groupBy("p_type").count())
+    assert "Scan parquet" in text and "HashAggregate" in text and "rows=" in text and "time=" in text
+    assert explain.analyze(spark.range(0)).count() >= 1
