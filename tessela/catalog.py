@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessela import catalog_estimates, catalog_storage  # noqa: F401  they register their queries
 from tessela.functions.partition_ids import hash_id, partition_id, range_id
 from tessela.operators import constraints, distributed, layouts, relational, statistics, views
-from tessela.operators.hierarchy import expand_hierarchy
+from tessela.operators.hierarchy import descendants, expand_hierarchy
 from tessela.operators.relational import Operator
 from tessela.operators.vector_search import InvertedLists, build_inverted_lists, vector_search
 from tessela.plans import cost, learned
@@ -19,7 +19,7 @@ from tessela.plans.hybrid import execute_hybrid
 from tessela.plans.ir import HybridQuery, Predicate, TableStats, VectorOp
 from tessela.plans.planner import Planner, PlannerConfig
 from tessela.registry import QUERIES, SQL, registered
-from tessela.runtime import once, read, scratch
+from tessela.runtime import once, read, scratch, written
 from tessela.sources import files, generator
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -532,4 +532,13 @@ FROM e LEFT JOIN d ON d.anc = e.id
 @registered(_P3_SQL)
 def p3_found(spark, sf_dir):
     full = expand_hierarchy(read(spark, sf_dir, "categories"), "category_id", "parent_category_id")
-    return full.select(F.col("id").alias("category_id"), "root_id", "depth", "path", "n_descendants", "in_loop")
+    ints = [F.col(c).cast("int").alias(c) for c in ("root_id", "depth")]
+    return full.select(F.col("id").cast("int").alias("category_id"), *ints, "path", F.col("n_descendants").cast("int").alias("n_descendants"), "in_loop")
+
+
+@registered(_P3_SQL[: _P3_SQL.index("d AS (")].rstrip().rstrip(",") + """
+SELECT a.anc::BIGINT AS category_id, f.id::BIGINT AS descendant FROM (SELECT id, unnest(walk) AS anc FROM f) a JOIN f USING (id) JOIN e ON e.id = a.id WHERE a.anc <> a.id AND e.again IS NULL""")
+def p3_descendants(spark, sf_dir):
+    """Every pair of a category and one below it, of the trees that hang on no circle."""
+    full = written(expand_hierarchy(read(spark, sf_dir, "categories"), "category_id", "parent_category_id").where("in_loop = 0"))
+    return descendants(full, full).select(F.col("id").alias("category_id"), "descendant")

@@ -23,7 +23,7 @@ from tessela.streaming import execution_log
 def exported_files(spark, sf_dir):
     """A table written as Parquet and as CSV without its vectors, and read again by the suffixes of the paths."""
     path = scratch(spark)
-    files.export(read(spark, sf_dir, "part").join(read(spark, sf_dir, "embeddings"), F.col("p_partkey") == F.col("vec_id")).select("p_partkey", "p_name", "embedding"), path)
+    files.export(read(spark, sf_dir, "part").join(read(spark, sf_dir, "embeddings"), F.col("p_partkey") == F.col("vec_id"), "left").select("p_partkey", "p_name", "embedding"), path)
     schema = "p_partkey long, p_name string"
     as_csv = spark.read.schema(schema).option("header", True).csv(f"{path}/csv")
     as_parquet = files.load(spark, f"{path}/parquet").select(F.col("p_partkey").cast("long").alias("p_partkey"), "p_name")
