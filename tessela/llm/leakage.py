@@ -1,10 +1,14 @@
-"""Evaluation texts leaking into training text: a character q-gram filter over diagonal bands, then aligned word stretches.
+"""Evaluation texts leaking into training text: a character q-gram filter over diagonals, then banded alignment of what it leaves.
 
-Texts become streams of folded letters and digits; spacing, case, punctuation, markup and character variants are
-gone, and flags keep where words began and ended. Eight characters pack into one integer, so equal q-grams are equal numbers. By
-the q-gram lemma a stretch of m characters without an edit shares m - q + 1 q-grams with its source on one diagonal; bands of
-neighbouring diagonals with fewer than the shortest countable stretch needs are left out. What stays is aligned within its band:
-q-grams that follow one another on a diagonal form a stretch, whose whole words are counted.
+Texts become streams of folded letters and digits; spacing, case, punctuation, markup and character variants are gone, and word
+edges are kept beside them. By the q-gram lemma a stretch of m characters with at most e edits shares m - q + 1 - q * e q-grams with its source.
+
+1. The q-grams of all items make a sieve of bounded size. Documents are read once: only where, within the length of the shortest countable
+   stretch, enough q-grams pass the sieve, a region of the document is kept, in whole words. Equal regions are looked at once.
+2. Regions meet item texts over their rarest q-gram in every such window, so a q-gram that many items share is used only where nothing rarer
+   is; long lists of items under a q-gram are joined in blocks. There is no limit to the number of items.
+3. Of each pair that meets, q-grams on one diagonal form seeds, which are extended on the diagonals of a band by as many edits as the
+   budget permits (none, in the stated cases). The aligned whole words decide.
 """
 
 from __future__ import annotations
@@ -15,20 +19,21 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessela.runtime import ship, unpack
+from tessela.runtime import broadcast_if_small, checkpoint, ship, unpack
 
 Q = 8
-#: Items that are held in a task at a time; more are searched in blocks, one after the other.
-ITEM_BLOCK = 20_000
-#: Diagonals of a band; bands overlap by half.
-BAND = 32
-#: Characters of a document that are looked up at a time.
+#: Bits of the sieve for each different q-gram, and bits that it has at most (64 MB).
+SIEVE_BITS, MOST_BITS = 16, 1 << 29
+#: Items under one q-gram that are joined within a group; a longer list is split.
+BLOCK = 1_024
+#: Characters of documents that are looked up at a time.
 _STEP = 1 << 20
+_PAGE = 16
 
-_MARKUP = re.compile(r"<[^<>\n]{1,300}>|\]\([^()\s]{0,300}\)|```|https?://\S+")
+_MARKUP = re.compile(r"<[^<>\n]+>|\]\([^()\s]*\)|```|https?://\S+")
 _WORD = re.compile(r"[^\W_]+")
 # Letters that Unicode's decomposition leaves whole, and Cyrillic and Greek twins of Latin letters.
 _FOLD = str.maketrans({
@@ -49,156 +54,282 @@ def fold(text: str) -> str:
     return _IGNORED.sub("", unicodedata.normalize("NFKD", text).casefold()).translate(_FOLD)
 
 
-def stream(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbol codes 1..63 as int64, first character of each word, position after the last character of each word)."""
-    words = _WORD.findall(fold(text))
-    joined = "".join(words)
-    raw = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.int64)
+def words_of(text: str) -> list[str]:
+    return _WORD.findall(fold(text))
+
+
+def least_characters(words: list[str], count: int) -> int | None:
+    """The fewest characters that so many consecutive words have; None if there aren't as many."""
+    if len(words) < count:
+        return None
+    ends = np.cumsum([len(w) for w in words])
+    return int((ends[count - 1 :] - np.concatenate([[0], ends[:-count]])).min())
+
+
+def _symbols(text: str) -> np.ndarray:
+    """A byte for each character: letters and digits their own, other characters one of 219."""
+    raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     letter, digit = (raw >= 97) & (raw <= 122), (raw >= 48) & (raw <= 57)
-    codes = np.where(letter, raw - 96, np.where(digit, raw - 21, 37 + raw % 27))
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
-    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends
-    return codes, starts, ends
+    return np.where(letter, raw - 96, np.where(digit, raw - 21, 37 + raw % 219)).astype(np.uint8)
 
 
-def grams(codes: np.ndarray) -> np.ndarray:
+def grams(text: str) -> np.ndarray:
+    """The q-grams of a text as numbers; those of characters that share a byte may coincide, which the alignment finds out."""
+    codes = _symbols(text).astype(np.uint64)
     n = len(codes) - Q + 1
     if n < 1:
         return np.empty(0, np.int64)
-    out = np.zeros(n, np.int64)
+    out = np.zeros(n, np.uint64)
     for i in range(Q):
-        out |= codes[i : i + n] << np.int64(6 * i)
+        out |= codes[i : i + n] << np.uint64(8 * i)
+    return out.view(np.int64)
+
+
+def _slots(keys: np.ndarray, bits: int) -> np.ndarray:
+    return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def regions(documents: list[list[str]], sieve: np.ndarray, bits: int, window: int, bound: int, longest: int) -> list[tuple[int, list[str]]]:
+    """(document, words): the stretches of whole words around every window of q-grams of which at least bound pass the sieve. A very long region
+    is cut into pieces that overlap by the longest text, so any stretch lies in one of them."""
+    text = "".join(w for words in documents for w in words)
+    keys = grams(text)
+    if len(keys) < window:
+        return []
+    sizes = np.array([len(w) for words in documents for w in words], np.int64)
+    ends = np.cumsum(sizes)
+    first = np.cumsum([0, *map(len, documents)])
+    begin = np.concatenate([[0], ends])[first]
+    slots = _slots(keys, bits)
+    passed = np.concatenate([[0], np.cumsum((sieve[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1, dtype=np.int64)])
+    # No window of one document reaches into the next.
+    starts = np.flatnonzero(passed[window:] - passed[:-window] >= bound)
+    doc = np.searchsorted(begin, starts, "right") - 1
+    fits = starts + window + Q - 1 <= begin[doc + 1]
+    starts, doc = starts[fits], doc[fits]
+    if not len(starts):
+        return []
+    reach = window + Q - 1
+    new = np.concatenate([[True], (np.diff(starts) > reach) | (np.diff(doc) != 0)])
+    lows, highs, owners = starts[new], starts[np.append(np.flatnonzero(new)[1:] - 1, len(starts) - 1)] + reach, doc[new]
+    flat = [w for words in documents for w in words]
+    out, most = [], max(4_096, 4 * longest)
+    for lo, hi, owner in zip(lows.tolist(), highs.tolist(), owners.tolist()):
+        a, b = int(np.searchsorted(ends, lo, "right")), int(np.searchsorted(ends, hi, "left")) + 1
+        while a < b:
+            z = min(b, max(a + 1, int(np.searchsorted(ends, ends[a] + most, "right"))))
+            out.append((owner, flat[a:z]))
+            if z == b:
+                break
+            a = max(a + 1, min(z - 1, int(np.searchsorted(ends, ends[z - 1] - longest, "left"))))
     return out
 
 
-class Index:
-    """The q-grams of the texts of some items; small enough to be sent to every task."""
+def _furthest(a: str, b: str, i: int, j: int, edits: int, step: int) -> list[tuple[int, int]]:
+    """For 0, 1, ... edits the furthest (i, j) that an alignment of a and b reaches from here, forwards or backwards: on each diagonal of
+    the band only the furthest point is kept."""
+    limit_a, limit_b = (len(a), len(b)) if step > 0 else (-1, -1)
 
-    def __init__(self, items: list[tuple[int, str | None, str | None]], run_words: int, part_words: int):
-        owners: dict[tuple[bool, bytes], list[int]] = {}
-        self.texts, self.owners, self.halves = [], [], []
-        for item, passage, question in items:
-            for half, text in ((True, passage), (False, question)):
-                if not text:
+    def slide(x: int, y: int) -> tuple[int, int]:
+        while x != limit_a and y != limit_b and a[x] == b[y]:
+            x, y = x + step, y + step
+        return x, y
+
+    points, out = {0: slide(i, j)}, []
+    for spent in range(edits + 1):
+        out.append(max(points.values(), key=lambda p: (p[0] * step, p[1] * step)))
+        if spent == edits:
+            break
+        after: dict[int, tuple[int, int]] = {}
+        for d, (x, y) in points.items():
+            for dx, dy in ((1, 1), (1, 0), (0, 1)):
+                u, v = x + dx * step, y + dy * step
+                if dx and x == limit_a or dy and y == limit_b:
                     continue
-                codes, starts, ends = stream(text)
-                key = (half, codes.tobytes() + starts.tobytes())
-                if key in owners:
-                    owners[key].append(item)
+                reached = slide(u, v)
+                key = d + dx - dy
+                if key not in after or reached[0] * step > after[key][0] * step:
+                    after[key] = reached
+        points = {**points, **after}
+    return out
+
+
+def aligned(document: list[str], text: list[str], run_words: int, part_words: int, edits: int = 0) -> tuple[bool, list[int]]:
+    """Whether the document repeats run_words consecutive words of the text within the edit budget, and the numbers of the text's words that
+    stand in stretches of at least part_words. A word at a stretch's edge counts only where the document has a word's edge as well."""
+    a, b = "".join(text), "".join(document)
+    starts_a, starts_b = np.cumsum([0, *map(len, text)]).tolist(), np.cumsum([0, *map(len, document)]).tolist()
+    edges = set(starts_b)
+    places: dict[str, list[int]] = {}
+    for j in range(len(b) - Q + 1):
+        places.setdefault(b[j : j + Q], []).append(j)
+    ended: dict[int, int] = {}
+    seen, covered, run = set(), set(), False
+    for i in range(len(a) - Q + 1):
+        for j in places.get(a[i : i + Q], ()):
+            if ended.get(j - i, -1) >= i:
+                continue  # inside a seed that was extended from its start
+            forward, backward = _furthest(a, b, i, j, edits, 1), _furthest(a, b, i - 1, j - 1, edits, -1)
+            ended[j - i] = forward[0][0] - Q
+            for spent, (hi, hi_b) in enumerate(forward):
+                lo, lo_b = backward[edits - spent]
+                stretch = (lo + 1, lo_b + 1, hi, hi_b)
+                if stretch in seen:
                     continue
-                owners[key] = [item]
-                self.texts.append((codes, starts, ends))
-                self.owners.append(owners[key])
-                self.halves.append(half)
-        # The fewest characters that a countable stretch of the text can have; its q-grams are the band's bound.
-        self.least = np.array([self._least(t, part_words if h else run_words) for t, h in zip(self.texts, self.halves)], np.int64)
-        parts = [grams(t[0]) for t in self.texts]
-        self.keys = np.concatenate(parts) if parts else np.empty(0, np.int64)
-        text = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-        at = np.concatenate([np.arange(len(p)) for p in parts]) if parts else np.empty(0, np.int64)
-        order = np.argsort(self.keys, kind="stable")
-        self.keys, self.text, self.at = self.keys[order], text[order], at[order]
-        self.sieve = np.zeros(1 << 22, bool)
-        self.sieve[self._slot(self.keys)] = True
-
-    @staticmethod
-    def _least(text, words: int) -> int:
-        _, starts, ends = text
-        if len(starts) < words:
-            return 1 << 40
-        return max(1, int((ends[words - 1 :] - starts[: len(starts) - words + 1]).min()) - Q + 1)
-
-    @staticmethod
-    def _slot(keys: np.ndarray) -> np.ndarray:
-        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)).astype(np.int64)
-
-    def hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, position in the text, position in the document) of every shared q-gram."""
-        found = []
-        for base in range(0, max(1, len(codes) - Q + 1), _STEP):
-            keys = grams(codes[base : base + _STEP + Q - 1])
-            where = np.flatnonzero(self.sieve[self._slot(keys)]) if len(keys) else np.empty(0, np.int64)
-            low, high = np.searchsorted(self.keys, keys[where], "left"), np.searchsorted(self.keys, keys[where], "right")
-            times = high - low
-            total = int(times.sum())
-            if not total:
-                continue
-            flat = np.repeat(low, times) + np.arange(total) - np.repeat(np.cumsum(times) - times, times)
-            found.append((self.text[flat], self.at[flat], np.repeat(where + base, times)))
-        if not found:
-            return (np.empty(0, np.int64),) * 3
-        return tuple(np.concatenate(x) for x in zip(*found))
-
-
-def leaked_texts(index: Index, document: str, run_words: int, part_words: int, share: float) -> list[int]:
-    """Numbers of the index's texts of which the document repeats run_words words at a stretch, or, of a passage, at
-    least the share of its words in stretches of part_words."""
-    codes, starts, ends = stream(document)
-    text, at, pos = index.hits(codes)
-    if not len(text):
-        return []
-    diagonal = pos - at
-    keep = np.zeros(len(text), bool)
-    for offset in (0, BAND // 2):
-        _, inverse, count = np.unique(np.stack([text, (diagonal + offset) // BAND]), axis=1, return_inverse=True, return_counts=True)
-        keep |= count[inverse.ravel()] >= index.least[text]
-    text, at, diagonal = text[keep], at[keep], diagonal[keep]
-    if not len(text):
-        return []
-    order = np.lexsort((at, diagonal, text))
-    text, at, diagonal = text[order], at[order], diagonal[order]
-    first = np.flatnonzero(np.concatenate([[True], (np.diff(text) != 0) | (np.diff(diagonal) != 0) | (np.diff(at) != 1)]))
-    last = np.concatenate([first[1:], [len(text)]]) - 1
-    begins, finishes = set(starts.tolist()), set(ends.tolist())
-    out, covered = set(), {}
-    for f, l in zip(first, last):
-        no = int(text[f])
-        _, s, e = index.texts[no]
-        lo, hi, shift = int(at[f]), int(at[l]) + Q, int(diagonal[f])
-        a, b = int(np.searchsorted(s, lo)), int(np.searchsorted(e, hi, "right"))
-        # A word at the edge counts only where the document has a word's edge as well.
-        while a < b and int(s[a]) + shift not in begins:
-            a += 1
-        while b > a and int(e[b - 1]) + shift not in finishes:
-            b -= 1
-        if b - a >= run_words:
-            out.add(no)
-        elif index.halves[no] and b - a >= part_words:
-            covered.setdefault(no, np.zeros(len(s), bool))[a:b] = True
-    out.update(no for no, c in covered.items() if c.sum() >= share * len(c))
-    return sorted(out)
+                seen.add(stretch)
+                x = int(np.searchsorted(starts_a, stretch[0]))
+                y = int(np.searchsorted(starts_a, hi, "right")) - 1
+                while x < y and starts_a[x] - stretch[0] + stretch[1] not in edges:
+                    x += 1
+                while y > x and starts_a[y] - hi + hi_b not in edges:
+                    y -= 1
+                run |= y - x >= run_words
+                if y - x >= part_words:
+                    covered.update(range(x, y))
+    return run, sorted(covered)
+
+
+def _texts(items: DataFrame) -> DataFrame:
+    """items(item_id, passage, question) -> (item_id, half, words)."""
+
+    def run(batches):
+        for batch in batches:
+            ids, halves, words = [], [], []
+            for item, passage, question in zip(*[batch.column(c).to_pylist() for c in range(3)]):
+                for half, text in ((True, passage), (False, question)):
+                    found = words_of(text) if text else []
+                    if found:
+                        ids.append(item)
+                        halves.append(half)
+                        words.append(" ".join(found))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(halves, pa.bool_()), pa.array(words, pa.string())], ["item_id", "half", "words"])
+
+    return items.mapInArrow(run, "item_id long, half boolean, words string")
+
+
+def _grams_of(rows: DataFrame, no: str) -> DataFrame:
+    """rows(no, words) -> (no, pos, gram)."""
+
+    def run(batches):
+        for batch in batches:
+            for number, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                keys = grams(words.replace(" ", ""))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), number, np.int64)), pa.array(np.arange(len(keys), dtype=np.int32)), pa.array(keys)], [no, "pos", "gram"])
+
+    return rows.select(no, "words").mapInArrow(run, f"{no} long, pos int, gram long")
+
+
+def _sieve(counted: DataFrame, distinct: int) -> tuple[np.ndarray, int]:
+    """counted(gram) -> (bits, their logarithm). Pages of the sieve are made by tasks; the driver puts at most 64 MB of them together."""
+    bits = max(_PAGE, min(MOST_BITS, max(1, distinct) * SIEVE_BITS).bit_length())
+
+    def slots(batches):
+        for batch in batches:
+            slot = np.unique(_slots(batch.column(0).to_numpy(), bits))
+            yield pa.RecordBatch.from_arrays([pa.array((slot >> _PAGE).astype(np.int32)), pa.array((slot & ((1 << _PAGE) - 1)).astype(np.int32))], ["page", "slot"])
+
+    def pages(pdf):
+        import pandas as pd
+
+        page = np.zeros(1 << _PAGE, np.uint8)
+        page[pdf["slot"].to_numpy()] = 1
+        return pd.DataFrame({"page": pdf["page"][:1], "bits": [np.packbits(page, bitorder="little").tobytes()]})
+
+    made = counted.select("gram").mapInArrow(slots, "page int, slot int").groupBy("page").applyInPandas(pages, "page int, bits binary")
+    sieve = np.zeros(1 << (bits - 3), np.uint8)
+    size = 1 << (_PAGE - 3)
+    for row in made.toLocalIterator():
+        sieve[row["page"] * size : (row["page"] + 1) * size] = np.frombuffer(row["bits"], np.uint8)
+    return sieve, bits
+
+
+def _numbered(df: DataFrame, name: str) -> DataFrame:
+    return checkpoint(df.withColumn(name, F.monotonically_increasing_id()))
 
 
 def leaks(
     documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", passage: str = "passage",
-    question: str = "question", run_words: int = 12, part_words: int = 6, share: float = 0.5, item_block: int = ITEM_BLOCK,
+    question: str = "question", run_words: int = 12, part_words: int = 6, share: float = 0.5, edits: int = 0, block: int = BLOCK,
 ) -> DataFrame:
     """(doc_id, item_id): each document with the items that it gives away; items that share a passage come out together.
 
+    edits: so many characters may be changed, added or left out within a stretch.
+
     Defined cases: null ids, null and blank texts give nothing; repeated rows count once; a passage of fewer than
     part_words words, or a question of fewer than run_words, can't leak; empty tables give no rows. Documents are read whole.
-    The items are searched in blocks of item_block, so what a task holds is bounded however many there are.
     """
     spark = documents.sparkSession
-    docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL AND length(text) > 0")
+    schema = "doc_id long, item_id long"
     held = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(passage).alias("p"), F.col(question).alias("q")).where("item_id IS NOT NULL")
-    blocks = max(1, -(-held.count() // item_block))
-    out = None
-    for block in range(blocks):
-        # Copies of a passage share a block, so that none is looked for twice in a task.
-        rows = held.where(F.pmod(F.xxhash64("p"), F.lit(blocks)) == block).orderBy("item_id").collect()
-        shipped = ship(spark, Index([(r["item_id"], r["p"], r["q"]) for r in rows], run_words, part_words))
-
-        def search(batches, shipped=shipped):
-            index = unpack(shipped)
-            for batch in batches:
-                ids, found = [], []
-                for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    hit = {i for no in leaked_texts(index, t, run_words, part_words, share) for i in index.owners[no]}
-                    ids.extend([d] * len(hit))
-                    found.extend(sorted(hit))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.int64())], ["doc_id", "item_id"])
-
-        one = docs.mapInArrow(search, "doc_id long, item_id long")
-        out = one if out is None else out.unionByName(one)
-    return out.distinct()
+    owned = checkpoint(_texts(held).distinct())
+    fewest = F.when(F.col("half"), F.lit(min(part_words, run_words))).otherwise(F.lit(run_words))
+    texts = _numbered(owned.where(F.size(F.split("words", " ")) >= fewest).select("half", "words").distinct(), "text_no")
+
+    def lengths(batches):
+        for batch in batches:
+            least = [least_characters(w.split(" "), min(part_words, run_words) if h else run_words) for h, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(least, pa.int64()), pa.array([len(w) for w in batch.column(1).to_pylist()], pa.int64())], ["least", "longest"])
+
+    bounds = texts.select("half", "words").mapInArrow(lengths, "least long, longest long").agg(F.min("least").alias("least"), F.max("longest").alias("longest")).first()
+    if bounds["least"] is None:
+        return spark.createDataFrame([], schema)
+    longest = int(bounds["longest"]) + edits
+    window = max(1, int(bounds["least"]) - edits - Q + 1)
+    bound = max(1, window - Q * edits)
+    postings = checkpoint(_grams_of(texts, "text_no").select("gram", "text_no").distinct())
+    counted = checkpoint(postings.groupBy("gram").agg(F.count(F.lit(1)).alias("df")))
+    sieve, bits = _sieve(counted, counted.count())
+    shipped = ship(spark, (sieve, bits))
+    del sieve
+
+    def search(batches):
+        own, size = unpack(shipped)
+
+        def found(ids, docs):
+            hits = regions(docs, own, size, window, bound, longest)
+            return pa.RecordBatch.from_arrays([pa.array([ids[d] for d, _ in hits], pa.int64()), pa.array([" ".join(w) for _, w in hits], pa.string())], ["doc_id", "words"])
+
+        for batch in batches:
+            ids, docs, size_now = [], [], 0
+            for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ids.append(d)
+                docs.append(words_of(t))
+                size_now += len(t)
+                if size_now > _STEP:
+                    yield found(ids, docs)
+                    ids, docs, size_now = [], [], 0
+            if ids:
+                yield found(ids, docs)
+
+    docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL AND length(text) > 0")
+    cut = checkpoint(docs.mapInArrow(search, "doc_id long, words string"))
+    parts = _numbered(cut.select("words").distinct(), "region_no")
+    # The rarest q-gram of every window that can lie in a countable stretch.
+    known = _grams_of(parts, "region_no").join(counted, "gram")
+    ahead = Window.partitionBy("region_no").orderBy("pos").rangeBetween(0, window - 1)
+    rarest = known.select("region_no", F.count(F.lit(1)).over(ahead).alias("c"), F.min(F.struct("df", "gram")).over(ahead).alias("x")).where(F.col("c") >= bound)
+    asked = rarest.select("region_no", "x.gram", "x.df").distinct()
+    blocks = F.ceil(F.col("df") / F.lit(block)).cast("long")
+    left = asked.select("region_no", "gram", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("part"))
+    right = postings.join(counted, "gram").select("gram", "text_no", F.pmod(F.xxhash64("text_no"), blocks).alias("part"))
+    pairs = checkpoint(left.join(right, ["gram", "part"]).select("region_no", "text_no").distinct())
+
+    def verify(batches):
+        for batch in batches:
+            rows = []
+            for region, no, half, r, t in zip(*[batch.column(c).to_pylist() for c in range(5)]):
+                whole = t.split(" ")
+                run, covered = aligned(r.split(" "), whole, run_words, part_words, edits)
+                if run or half and covered:
+                    rows.append((region, no, run, covered if half and not run else [], len(whole)))
+            columns = list(zip(*rows)) if rows else [()] * 5
+            types = [pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int32()), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], ["region_no", "text_no", "run", "covered", "n"])
+
+    met = pairs.join(parts, "region_no").join(texts.withColumnRenamed("words", "own"), "text_no").select("region_no", "text_no", "half", "words", "own")
+    proven = checkpoint(met.mapInArrow(verify, "region_no long, text_no long, run boolean, covered array<int>, n int"))
+    placed = cut.distinct().join(parts, "words").select("doc_id", "region_no").join(broadcast_if_small(proven, 200_000), "region_no")
+    told = placed.groupBy("doc_id", "text_no").agg(F.max("run").alias("run"), F.size(F.array_distinct(F.flatten(F.collect_list("covered")))).alias("c"), F.max("n").alias("n"))
+    leaked = told.where(F.col("run") | (F.col("c") >= F.col("n") * F.lit(share)) & (F.col("c") > 0)).select("doc_id", "text_no")
+    owners = texts.join(owned, ["half", "words"]).select("text_no", "item_id")
+    return leaked.join(owners, "text_no").select("doc_id", "item_id").distinct()

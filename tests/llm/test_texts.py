@@ -35,37 +35,86 @@ def test_leaks(spark):
     items = [(100, PASSAGE, None), (101, PASSAGE, QUESTION), (102, None, QUESTION), (103, "", ""), (None, PASSAGE, None)]
     both = {(d, i) for d in (1, 3, 4, 11, 12) for i in (100, 101)} | {(6, 101), (6, 102)}
     assert leaks(spark, docs, items) == both
-    assert leaks(spark, docs, items, item_block=1) == both
+    assert leaks(spark, docs, items, block=1) == both
     assert leaks(spark, docs, []) == set() and leaks(spark, [], items) == set()
 
 
-def test_leaks_equal_a_word_by_word_search():
+def expected_leaks(doc, targets, run=12, part=6):
+    out = set()
+    for no, target in enumerate(targets):
+        covered = set()
+        for i in range(len(doc)):
+            for j in range(len(target)):
+                if (i == 0 or j == 0 or doc[i - 1] != target[j - 1]) and doc[i] == target[j]:
+                    n = 0
+                    while i + n < len(doc) and j + n < len(target) and doc[i + n] == target[j + n]:
+                        n += 1
+                    if n >= run:
+                        out.add(no)
+                    if n >= part and no == 0:
+                        covered |= set(range(j, j + n))
+        if covered and len(covered) >= 0.5 * len(target):
+            out.add(no)
+    return out
+
+
+def made_up(rng):
+    source, cut = rng.choice([(PASSAGE, 40), (QUESTION, 15)])
+    words = source.split()
+    a = rng.randrange(cut)
+    text = words[a : a + rng.randint(3, 25)]
+    for _ in range(rng.randint(0, 3)):
+        text.insert(rng.randrange(len(text) + 1), rng.choice(["other", "xylem", *WORDS]))
+    return ["lorem", *text, "ipsum"]
+
+
+def test_leaks_equal_a_word_by_word_search(spark):
     rng = random.Random(4)
-    index = leakage.Index([(1, PASSAGE, None), (2, None, QUESTION)], 12, 6)
-    for _ in range(300):
-        source, cut = rng.choice([(PASSAGE, 40), (QUESTION, 15)])
-        words = source.split()
-        a = rng.randrange(cut)
-        text = words[a : a + rng.randint(3, 25)]
-        for _ in range(rng.randint(0, 3)):
-            text.insert(rng.randrange(len(text) + 1), rng.choice(["other", "xylem", *WORDS]))
-        doc = ["lorem", *text, "ipsum"]
-        expected = set()
-        for no, target in enumerate((PASSAGE.split(), QUESTION.split())):
-            covered = set()
-            for i in range(len(doc)):
-                for j in range(len(target)):
-                    if (i == 0 or j == 0 or doc[i - 1] != target[j - 1]) and doc[i] == target[j]:
-                        n = 0
-                        while i + n < len(doc) and j + n < len(target) and doc[i + n] == target[j + n]:
-                            n += 1
-                        if n >= 12:
-                            expected.add(no)
-                        if n >= 6 and no == 0:
-                            covered |= set(range(j, j + n))
-            if len(covered) >= 0.5 * len(target):
-                expected.add(no)
-        assert set(leakage.leaked_texts(index, " ".join(doc), 12, 6, 0.5)) == expected
+    docs = [made_up(rng) for _ in range(300)]
+    targets = (PASSAGE.split(), QUESTION.split())
+    for doc in docs:
+        got = set()
+        for no, target in enumerate(targets):
+            run, covered = leakage.aligned(doc, target, 12, 6)
+            if run or no == 0 and covered and len(covered) >= 0.5 * len(target):
+                got.add(no)
+        assert got == expected_leaks(doc, targets)
+    joined = [sum(docs[i : i + 5], []) for i in range(0, 300, 5)]
+    expected = {(i, no) for i, doc in enumerate(joined) for no in expected_leaks(doc, targets)}
+    assert leaks(spark, [(i, " ".join(d)) for i, d in enumerate(joined)], [(0, PASSAGE, None), (1, None, QUESTION)]) == expected
+
+
+def test_edit_budget(spark):
+    words = PASSAGE.split()[:14]
+    slipped = [*words[:6], words[6][:2] + "q" + words[6][3:], *words[7:]]
+    lost = [*words[:6], words[6][:2] + words[6][3:], *words[7:]]
+    for doc in (slipped, lost):
+        assert not leakage.aligned(doc, PASSAGE.split(), 12, 6)[0]
+        assert leakage.aligned(doc, PASSAGE.split(), 12, 6, edits=1)[0]
+    docs = [(1, " ".join(slipped)), (2, " ".join(lost)), (3, " ".join(words[:11]))]
+    assert leaks(spark, docs, [(9, PASSAGE, None)]) == set()
+    assert leaks(spark, docs, [(9, PASSAGE, None)], edits=1) == {(1, 9), (2, 9)}
+
+
+def test_many_items_without_passages(spark):
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 8))) for _ in range(3000)]
+    questions = [" ".join(rng.choices(vocabulary, k=14)) for _ in range(2000)]
+    shared = " ".join(vocabulary[:13])
+    items = [(i, None if i % 2 else " ".join(rng.choices(vocabulary, k=30)), q) for i, q in enumerate(questions)] + [(5000 + i, None, f"{shared} {w}") for i, w in enumerate(vocabulary[20:320])]
+    docs = [(i, f"start {questions[i * 7]} end") for i in range(50)] + [(100, shared), (101, shared), (102, " ".join(vocabulary[:11]))]
+    expected = {(i, i * 7) for i in range(50)} | {(d, 5000 + i) for d in (100, 101) for i in range(300)}
+    assert leaks(spark, docs, items, block=64) == expected
+
+
+def test_long_regions_are_cut_without_losing_stretches():
+    sieve = np.full(1 << 13, 255, np.uint8)
+    text = [w for i in range(60) for w in sentence(100 + i, 20).split()]
+    got = leakage.regions([["a"], text, []], sieve, 16, 20, 20, 300)
+    assert {d for d, _ in got} == {1} and len(got) > 1
+    for i in range(0, len(text) - 14):
+        assert any(" ".join(text[i : i + 14]) in " ".join(w) for _, w in got)
+    assert leakage.regions([["a"], []], sieve, 16, 20, 20, 300) == [] and leakage.regions([text], np.zeros(1 << 13, np.uint8), 16, 20, 20, 300) == []
 
 
 def share_of_prose(text):
