@@ -7,7 +7,8 @@ edges are kept beside them. By the q-gram lemma a stretch of m characters with a
    stretch, enough q-grams pass the sieve, a region of the document is kept, in whole words. Equal regions are looked at once.
 2. Regions meet item texts over their rarest q-gram in every such window, so a q-gram that many items share is used only where nothing rarer
    is; long lists of items under a q-gram are joined in blocks. There is no limit to the number of items.
-3. Of each pair that meets, q-grams on one diagonal form seeds, which are extended on the diagonals of a band by as many edits as the
+3. Of each pair that meets, the shared q-grams are counted in overlapping bands of diagonals; where a band holds as many as the text's shortest
+   countable stretch must have, q-grams on one diagonal form seeds, which are extended on the diagonals of a band by as many edits as the
    budget permits (none, in the stated cases). The aligned whole words decide.
 """
 
@@ -16,19 +17,23 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessela.runtime import broadcast_if_small, checkpoint, ship, unpack
+from tessela.runtime import broadcast_if_small, checkpoint, shuffle_partitions, ship, unpack
 
 Q = 8
 #: Bits of the sieve for each different q-gram, and bits that it has at most (64 MB).
 SIEVE_BITS, MOST_BITS = 16, 1 << 29
 #: Items under one q-gram that are joined within a group; a longer list is split.
 BLOCK = 1_024
+#: Diagonals of a band.
+BAND = 32
 #: Characters of documents that are looked up at a time.
 _STEP = 1 << 20
 _PAGE = 16
@@ -154,19 +159,40 @@ def _furthest(a: str, b: str, i: int, j: int, edits: int, step: int) -> list[tup
     return out
 
 
-def aligned(document: list[str], text: list[str], run_words: int, part_words: int, edits: int = 0) -> tuple[bool, list[int]]:
+class Side:
+    """A text or a region with what its comparisons need: the joined words, where words begin and end, and the places of its q-grams."""
+
+    def __init__(self, words: list[str]):
+        self.count, self.text = len(words), "".join(words)
+        self.starts = np.cumsum([0, *map(len, words)]).tolist()
+        self.edges = set(self.starts)
+        self.grams = [self.text[i : i + Q] for i in range(len(self.text) - Q + 1)]
+        self.places: dict[str, list[int]] = {}
+        for i, gram in enumerate(self.grams):
+            self.places.setdefault(gram, []).append(i)
+
+
+def promising(document: Side, text: Side, bound: int, edits: int = 0) -> bool:
+    """Whether a band of diagonals holds at least ``bound`` shared q-grams. Bands overlap by half, so that any stretch, which strays by no more
+    than its edits, lies in one of them."""
+    half = BAND // 2 + edits
+    bands: dict[int, int] = {}
+    get = document.places.get
+    for i, gram in enumerate(text.grams):
+        for j in get(gram, ()):
+            at = (j - i) // half
+            bands[at] = bands.get(at, 0) + 1
+    return any(n + bands.get(at + 1, 0) >= bound for at, n in bands.items()) or any(n >= bound for n in bands.values())
+
+
+def aligned(document: Side, text: Side, run_words: int, part_words: int, edits: int = 0) -> tuple[bool, list[int]]:
     """Whether the document repeats run_words consecutive words of the text within the edit budget, and the numbers of the text's words that
     stand in stretches of at least part_words. A word at a stretch's edge counts only where the document has a word's edge as well."""
-    a, b = "".join(text), "".join(document)
-    starts_a, starts_b = np.cumsum([0, *map(len, text)]).tolist(), np.cumsum([0, *map(len, document)]).tolist()
-    edges = set(starts_b)
-    places: dict[str, list[int]] = {}
-    for j in range(len(b) - Q + 1):
-        places.setdefault(b[j : j + Q], []).append(j)
+    a, b, starts_a, edges = text.text, document.text, text.starts, document.edges
     ended: dict[int, int] = {}
     seen, covered, run = set(), set(), False
-    for i in range(len(a) - Q + 1):
-        for j in places.get(a[i : i + Q], ()):
+    for i, gram in enumerate(text.grams):
+        for j in document.places.get(gram, ()):
             if ended.get(j - i, -1) >= i:
                 continue  # inside a seed that was extended from its start
             forward, backward = _furthest(a, b, i, j, edits, 1), _furthest(a, b, i - 1, j - 1, edits, -1)
@@ -177,8 +203,7 @@ def aligned(document: list[str], text: list[str], run_words: int, part_words: in
                 if stretch in seen:
                     continue
                 seen.add(stretch)
-                x = int(np.searchsorted(starts_a, stretch[0]))
-                y = int(np.searchsorted(starts_a, hi, "right")) - 1
+                x, y = bisect_left(starts_a, stretch[0]), bisect_right(starts_a, hi) - 1
                 while x < y and starts_a[x] - stretch[0] + stretch[1] not in edges:
                     x += 1
                 while y > x and starts_a[y] - hi + hi_b not in edges:
@@ -315,18 +340,30 @@ def leaks(
     pairs = checkpoint(left.join(right, ["gram", "part"]).select("region_no", "text_no").distinct())
 
     def verify(batches):
+        now, region_side = None, None
+
+        @lru_cache(4096)
+        def prepared(words: str, half: bool) -> tuple[Side, int]:
+            whole = words.split(" ")
+            return Side(whole), max(1, least_characters(whole, min(part_words, run_words) if half else run_words) - edits - Q + 1 - Q * edits)
+
         for batch in batches:
             rows = []
             for region, no, half, r, t in zip(*[batch.column(c).to_pylist() for c in range(5)]):
-                whole = t.split(" ")
-                run, covered = aligned(r.split(" "), whole, run_words, part_words, edits)
+                if region != now:
+                    now, region_side = region, Side(r.split(" "))
+                side, least = prepared(t, half)
+                if not promising(region_side, side, least, edits):
+                    continue
+                run, covered = aligned(region_side, side, run_words, part_words, edits)
                 if run or half and covered:
-                    rows.append((region, no, run, covered if half and not run else [], len(whole)))
+                    rows.append((region, no, run, covered if half and not run else [], side.count))
             columns = list(zip(*rows)) if rows else [()] * 5
             types = [pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int32()), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], ["region_no", "text_no", "run", "covered", "n"])
 
     met = pairs.join(parts, "region_no").join(texts.withColumnRenamed("words", "own"), "text_no").select("region_no", "text_no", "half", "words", "own")
+    met = met.repartition(shuffle_partitions(spark), "region_no", F.pmod(F.xxhash64("text_no"), F.lit(8))).sortWithinPartitions("region_no")
     proven = checkpoint(met.mapInArrow(verify, "region_no long, text_no long, run boolean, covered array<int>, n int"))
     placed = cut.distinct().join(parts, "words").select("doc_id", "region_no").join(broadcast_if_small(proven, 200_000), "region_no")
     told = placed.groupBy("doc_id", "text_no").agg(F.max("run").alias("run"), F.size(F.array_distinct(F.flatten(F.collect_list("covered")))).alias("c"), F.max("n").alias("n"))

@@ -75,7 +75,7 @@ def test_leaks_equal_a_word_by_word_search(spark):
     for doc in docs:
         got = set()
         for no, target in enumerate(targets):
-            run, covered = leakage.aligned(doc, target, 12, 6)
+            run, covered = leakage.aligned(leakage.Side(doc), leakage.Side(target), 12, 6)
             if run or no == 0 and covered and len(covered) >= 0.5 * len(target):
                 got.add(no)
         assert got == expected_leaks(doc, targets)
@@ -89,8 +89,9 @@ def test_edit_budget(spark):
     slipped = [*words[:6], words[6][:2] + "q" + words[6][3:], *words[7:]]
     lost = [*words[:6], words[6][:2] + words[6][3:], *words[7:]]
     for doc in (slipped, lost):
-        assert not leakage.aligned(doc, PASSAGE.split(), 12, 6)[0]
-        assert leakage.aligned(doc, PASSAGE.split(), 12, 6, edits=1)[0]
+        sides = leakage.Side(doc), leakage.Side(PASSAGE.split())
+        assert not leakage.aligned(*sides, 12, 6)[0] and leakage.aligned(*sides, 12, 6, edits=1)[0]
+        assert leakage.promising(*sides, 40, 1) and not leakage.promising(*sides, 400, 1)
     docs = [(1, " ".join(slipped)), (2, " ".join(lost)), (3, " ".join(words[:11]))]
     assert leaks(spark, docs, [(9, PASSAGE, None)]) == set()
     assert leaks(spark, docs, [(9, PASSAGE, None)], edits=1) == {(1, 9), (2, 9)}
