@@ -170,11 +170,14 @@ class Side:
         self.places: dict[str, list[int]] = {}
         for i, gram in enumerate(self.grams):
             self.places.setdefault(gram, []).append(i)
+        self.plain = len(self.places) == len(self.grams)
 
 
 def promising(document: Side, text: Side, bound: int, edits: int = 0) -> bool:
     """Whether a band of diagonals holds at least ``bound`` shared q-grams. Bands overlap by half, so that any stretch, which strays by no more
     than its edits, lies in one of them."""
+    if text.plain and len(text.places.keys() & document.places.keys()) < bound:
+        return False
     half = BAND // 2 + edits
     bands: dict[int, int] = {}
     get = document.places.get
@@ -288,14 +291,16 @@ def leaks(
     held = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(passage).alias("p"), F.col(question).alias("q")).where("item_id IS NOT NULL")
     owned = checkpoint(_texts(held).distinct())
     fewest = F.when(F.col("half"), F.lit(min(part_words, run_words))).otherwise(F.lit(run_words))
-    texts = _numbered(owned.where(F.size(F.split("words", " ")) >= fewest).select("half", "words").distinct(), "text_no")
+    whole = owned.where(F.size(F.split("words", " ")) >= fewest).select("half", "words").distinct()
 
     def lengths(batches):
         for batch in batches:
-            least = [least_characters(w.split(" "), min(part_words, run_words) if h else run_words) for h, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array(least, pa.int64()), pa.array([len(w) for w in batch.column(1).to_pylist()], pa.int64())], ["least", "longest"])
+            halves, words = batch.column(0), batch.column(1)
+            least = [least_characters(w.split(" "), min(part_words, run_words) if h else run_words) for h, w in zip(halves.to_pylist(), words.to_pylist())]
+            yield pa.RecordBatch.from_arrays([halves, words, pa.array(least, pa.int64())], ["half", "words", "least"])
 
-    bounds = texts.select("half", "words").mapInArrow(lengths, "least long, longest long").agg(F.min("least").alias("least"), F.max("longest").alias("longest")).first()
+    texts = _numbered(whole.mapInArrow(lengths, "half boolean, words string, least long"), "text_no")
+    bounds = texts.agg(F.min("least").alias("least"), F.max(F.length("words")).alias("longest")).first()
     if bounds["least"] is None:
         return spark.createDataFrame([], schema)
     longest = int(bounds["longest"]) + edits
@@ -333,27 +338,28 @@ def leaks(
     known = _grams_of(parts, "region_no").join(counted, "gram")
     ahead = Window.partitionBy("region_no").orderBy("pos").rangeBetween(0, window - 1)
     rarest = known.select("region_no", F.count(F.lit(1)).over(ahead).alias("c"), F.min(F.struct("df", "gram")).over(ahead).alias("x")).where(F.col("c") >= bound)
-    asked = rarest.select("region_no", "x.gram", "x.df").distinct()
+    # A region that is shorter than the shortest countable stretch of a text holds none of it.
+    size = parts.select("region_no", F.length(F.regexp_replace("words", " ", "")).alias("size"))
+    asked = rarest.select("region_no", "x.gram", "x.df").distinct().join(size, "region_no")
     blocks = F.ceil(F.col("df") / F.lit(block)).cast("long")
-    left = asked.select("region_no", "gram", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("part"))
-    right = postings.join(counted, "gram").select("gram", "text_no", F.pmod(F.xxhash64("text_no"), blocks).alias("part"))
-    pairs = checkpoint(left.join(right, ["gram", "part"]).select("region_no", "text_no").distinct())
+    left = asked.select("region_no", "size", "gram", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("part"))
+    right = postings.join(counted, "gram").join(texts.select("text_no", "least"), "text_no").select("gram", "text_no", "least", F.pmod(F.xxhash64("text_no"), blocks).alias("part"))
+    pairs = checkpoint(left.join(right, ["gram", "part"]).where(F.col("size") >= F.col("least") - edits).select("region_no", "text_no").distinct())
 
     def verify(batches):
         now, region_side = None, None
 
         @lru_cache(4096)
-        def prepared(words: str, half: bool) -> tuple[Side, int]:
-            whole = words.split(" ")
-            return Side(whole), max(1, least_characters(whole, min(part_words, run_words) if half else run_words) - edits - Q + 1 - Q * edits)
+        def prepared(words: str) -> Side:
+            return Side(words.split(" "))
 
         for batch in batches:
             rows = []
-            for region, no, half, r, t in zip(*[batch.column(c).to_pylist() for c in range(5)]):
+            for region, no, half, least, r, t in zip(*[batch.column(c).to_pylist() for c in range(6)]):
                 if region != now:
                     now, region_side = region, Side(r.split(" "))
-                side, least = prepared(t, half)
-                if not promising(region_side, side, least, edits):
+                side = prepared(t)
+                if not promising(region_side, side, max(1, least - edits - Q + 1 - Q * edits), edits):
                     continue
                 run, covered = aligned(region_side, side, run_words, part_words, edits)
                 if run or half and covered:
@@ -362,7 +368,7 @@ def leaks(
             types = [pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int32()), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], ["region_no", "text_no", "run", "covered", "n"])
 
-    met = pairs.join(parts, "region_no").join(texts.withColumnRenamed("words", "own"), "text_no").select("region_no", "text_no", "half", "words", "own")
+    met = pairs.join(parts, "region_no").join(texts.withColumnRenamed("words", "own"), "text_no").select("region_no", "text_no", "half", "least", "words", "own")
     met = met.repartition(shuffle_partitions(spark), "region_no", F.pmod(F.xxhash64("text_no"), F.lit(8))).sortWithinPartitions("region_no")
     proven = checkpoint(met.mapInArrow(verify, "region_no long, text_no long, run boolean, covered array<int>, n int"))
     placed = cut.distinct().join(parts, "words").select("doc_id", "region_no").join(broadcast_if_small(proven, 200_000), "region_no")
