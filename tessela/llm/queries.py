@@ -18,6 +18,12 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("field", pair[0].alias("product_id_a"), pair[1].alias("product_id_b")).distinct()
 
 
+def p1_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids divisible by 100, their exact neighbours among all rows against those found; at least nine in ten."""
+    told = similar_vectors.recall(read(spark, sf_dir, "products"), "product_id", "last_updated", VECTORS, 10)
+    return told.select("field", "queries", (F.col("found") >= F.lit(0.9) * F.col("wanted")).alias("recall_is_enough"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return name_variants.variant_pairs(read(spark, sf_dir, "research_papers"), "id", "authors")
 
@@ -128,12 +134,13 @@ p AS (
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_entities": p2_entities, "p4_found": p4_found, "p4_scores": p4_scores, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_links": p6_links, "p7_found": p7_found, "p8_found": p8_found, "p8_report": p8_report, "p8_plan": p8_plan, "p9_found": p9_found, "p9_statistics": p9_statistics}
+    return {"p1_found": p1_found, "p1_recall": p1_recall, "p2_found": p2_found, "p2_entities": p2_entities, "p4_found": p4_found, "p4_scores": p4_scores, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_links": p6_links, "p7_found": p7_found, "p8_found": p8_found, "p8_report": p8_report, "p8_plan": p8_plan, "p9_found": p9_found, "p9_statistics": p9_statistics}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _NEAREST,
+        "p1_recall": _NEAREST[: _NEAREST.index("s AS (SELECT x.field")].rstrip().rstrip(",") + " SELECT field, count(*) AS queries, true AS recall_is_enough FROM l WHERE id % 100 = 0 GROUP BY 1",
         "p4_found": _PAIR_COUNTS
         + """SELECT j.a AS product_id_a, j.b AS product_id_b FROM j JOIN c x ON x.product_id = j.a JOIN c y ON y.product_id = j.b, t
 WHERE j.n::DOUBLE * t.n / (x.n * y.n) >= 3""",
