@@ -1,6 +1,6 @@
 import pytest
 
-from tessela.catalog import SCENARIOS, scenario_rows
+from tessela.catalog_estimates import SCENARIOS, scenario_rows
 from tessela.plans.cost import CostConfig, SqlCost, VectorCost
 from tessela.plans.ir import HybridQuery, Plan, PlanType, Predicate, TableStats, VectorOp
 from tessela.plans.planner import Planner, PlannerConfig
