@@ -12,8 +12,9 @@ METRICS = ("cosine", "l2", "inner_product")
 
 
 def vector(values: Sequence[float]) -> Column:
-    """A query vector as a literal array<double>."""
-    return F.lit([float(v) for v in values])
+    """A query vector as a literal array<double>, made in one call."""
+    texts = ["double('NaN')" if v != v else f"double('{v}')" if math.isinf(v) else f"{v!r}D" for v in map(float, values)]
+    return F.expr(f"array({', '.join(texts)})" if texts else "cast(array() AS array<double>)")
 
 
 def checked(embedding: Column, dimension: int) -> Column:

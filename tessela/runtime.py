@@ -12,15 +12,22 @@ from typing import TypeVar
 from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 T = TypeVar("T")
 
+_SCHEMAS: dict[tuple, StructType] = {}
 #: A side is broadcast by hand only when it has at most this many rows.
 BROADCAST_ROWS = 20_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """A given table; its schema is looked up in its files once a session."""
+    path = f"{sf_dir}/{table}.parquet"
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _SCHEMAS:
+        _SCHEMAS[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[key]).parquet(path)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
