@@ -3,7 +3,8 @@
 Strings that differ only in case, accents, titles, footnote marks, spacing, comma order or joined initials are one form. Forms
 are then attributed: a frequent full form is a candidate for the forms that reach it by an abbreviation, a nickname, a dropped part or a typing
 slip. A form joins the candidate with the greatest posterior, the prior being the candidate's frequency. One that could only be a slip is
-also its own candidate, with a prior of its own: it stays by itself where no slip is that likely. A slip needs a
+also its own candidate, with a prior of its own: it stays by itself where no slip is that likely. Nicknames come from a
+list of common ones and from the names themselves. A slip needs a
 token that isn't established by itself: a first name seen with several surnames, or a surname seen with several first
 names, is a name of its own, unless slips of a far more frequent neighbour explain how often it is seen.
 
@@ -176,6 +177,8 @@ _OWN = -8.0
 ROUNDS, PSEUDO_USES = 2, 2_000
 #: Forms under one key that are compared within a group; a longer list is split.
 BLOCK = 512
+#: A first name is learnt to stand for another one if this share of its surnames, and so many, stand with both.
+SURNAME_SHARE, LEAST_SURNAMES = 0.4, 5
 # The rows of a keyboard; neighbours are found from them by rule.
 _KEYBOARD = ("qwertyuiop", "asdfghjkl", "zxcvbnm")
 
@@ -210,6 +213,18 @@ def _whole(first: Column) -> Column:
     return F.array_union(F.array(first), F.coalesce(F.try_element_at(nick, first), F.array().cast("array<string>")))
 
 
+def _learned_nicknames(forms: DataFrame) -> DataFrame:
+    """(first, learned): first names that stand for others, by the surnames: of a nickname's surnames a large share also stand with the full
+    name, of two different names' hardly any; and the full name stands with at least twice as many. Surnames of very many first names are paired in chunks."""
+    people = forms.where((F.col("sort") == "p") & (F.length("first") > 1)).select("head", "first").distinct()
+    spread = people.groupBy("first").agg(F.count(F.lit(1)).alias("d"))
+    shared = basket_pairs(people.select(F.col("head").alias("basket"), F.col("first").alias("item"))).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_SURNAMES)
+    both = shared.unionByName(shared.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
+    told = both.join(spread.withColumnRenamed("first", "a"), "a").join(spread.select(F.col("first").alias("b"), F.col("d").alias("d_b")), "b")
+    told = told.where((F.col("n") >= F.col("d") * F.lit(SURNAME_SHARE)) & (F.col("d_b") >= 2 * F.col("d")))
+    return told.groupBy(F.col("a").alias("first")).agg(F.array_sort(F.collect_set("b")).alias("learned"))
+
+
 def _changes(pairs: DataFrame) -> DataFrame:
     """pairs of forms a and b -> the same with how many changes of each kind lead from b to a; pairs that none lead to are left out."""
     c = F.col
@@ -233,7 +248,7 @@ def _changes(pairs: DataFrame) -> DataFrame:
     )
     initial = person & (c("first_a") != c("first_b")) & (F.length("first_a") == 1) & c("first_b").startswith(c("first_a"))
     clipped = (F.length("first_a") == 3) & c("first_b").startswith(c("first_a")) & ~c("own_first_a")
-    nickname = person & (c("first_a") != c("first_b")) & ~initial & (F.arrays_overlap(_whole(c("first_a")), _whole(c("first_b"))) | clipped)
+    nickname = person & (c("first_a") != c("first_b")) & ~initial & (F.arrays_overlap("whole_a", "whole_b") | clipped)
     first_slip = F.when(c("first_a") == c("first_b"), 0).when(~person, F.lit(None).cast("int")).when(initial | nickname, 0).when((F.length("first_a") > 2) & ~c("own_first_a"), c("d_first"))
     same = c("more_a") == c("more_b")
     field_slip = F.when(person | same, 0).when(c("d_field").isNotNull(), c("d_field")).when(shortened, 0)
@@ -335,6 +350,8 @@ def link_names(df: DataFrame, id_col: str, names_col: str, block: int = BLOCK) -
     heads = _established(heads, 2, ("uses",)).select("sort", F.col("word").alias("head"), F.lit(True).alias("own_head"))
     forms = forms.join(firsts, ["sort", "first"], "left").join(heads, ["sort", "head"], "left")
     forms = checkpoint(forms.select(F.xxhash64(*shape).alias("f"), *shape, "n", F.coalesce("own_first", F.lit(False)).alias("own_first"), F.coalesce("own_head", F.lit(False)).alias("own_head")))
+    wholes = F.array_union(_whole(F.col("first")), F.coalesce("learned", F.array().cast("array<string>")))
+    forms = checkpoint(forms.join(_learned_nicknames(forms), "first", "left").withColumn("whole", F.when(F.col("sort") == "p", wholes).otherwise(F.array("first"))).drop("learned"))
     joined = F.regexp_replace("head", "-", "")
     person, full = F.col("sort") == "p", F.length("first") > 1
     # The order in which forms may lead: established tokens first, then, of institutions, the fuller, then the more frequent; ties by number.
@@ -342,7 +359,7 @@ def link_names(df: DataFrame, id_col: str, names_col: str, block: int = BLOCK) -
     most = F.least(F.col("n"), F.lit((1 << 36) - 1))
     lead = F.shiftleft(rank.cast("long"), 52) + F.shiftleft(most, 16) + F.shiftleft(F.least(F.length("more"), F.lit(255)).cast("long"), 8) + F.least(F.length("first"), F.lit(255))
     plain = forms.withColumn("joined", joined).withColumn("lead", lead)
-    keyed = plain.withColumn("whole", F.explode(_whole(F.col("first"))))
+    keyed = plain.withColumn("whole", F.explode("whole"))
     k = lambda tag, *parts: F.xxhash64(F.lit(tag), *parts)
     # The same keys on both sides; each names what has to agree. Under an initial only short forms look for full ones, and clipped ones under three letters.
     row = lambda df, key, asks: df.select("f", key.alias("key"), asks.alias("asks"), (F.length("first") == 1).alias("short"), "lead")
@@ -365,7 +382,7 @@ def link_names(df: DataFrame, id_col: str, names_col: str, block: int = BLOCK) -
     right = keys.where(~F.col("short")).select("key", F.col("f").alias("b"), F.col("lead").alias("lead_b"))
     met = _met(left, right, block).where("a != b").where(F.col("short_a") | (F.col("lead_b") > F.col("lead_a")) | (F.col("lead_b") == F.col("lead_a")) & (F.col("b") > F.col("a")))
     met = met.select("a", "b").distinct()
-    side = lambda s, *more: forms.select(F.col("f").alias(s), *more, *[F.col(c).alias(f"{c}_{s}") for c in ("head", "first", "more", "n", "own_first", "own_head")])
+    side = lambda s, *more: forms.select(F.col("f").alias(s), *more, *[F.col(c).alias(f"{c}_{s}") for c in ("head", "first", "more", "n", "own_first", "own_head", "whole")])
     pairs = met.join(side("a", "sort"), "a").join(side("b"), "b")
     scored = checkpoint(_changes(pairs).select("a", "b", "n_a", "n_b", *_LIKELY))
     uses = forms.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

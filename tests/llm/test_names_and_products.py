@@ -57,6 +57,13 @@ def test_a_name_may_be_its_own(spark):
     assert linked(spark, rows) == sorted([{"Karl Hansen"}, {"Karl Hanson"}, {"Anna Grotrekar", "Anna Grotrejar", "Anna Grotrekra"}, {"Boris Flumdeik", "Boris Flumdoik"}], key=sorted)
 
 
+def test_nicknames_are_learnt_from_surnames(spark):
+    surnames = [f"{a}{b}" for a in ("Brunt", "Dlosk", "Frimb", "Gleph", "Krazd", "Tworm") for b in ("owiak", "itzer", "ulescu")]
+    rows = [f"Zebulon {s}" for s in surnames] * 3 + [f"Zuzu {s}" for s in surnames[:8]] + [f"Miriam {s}" for s in surnames[:2]] + ["Zuzu Grotrekar", "Miriam Grotrekar"]
+    expected = [{f"Zebulon {s}", f"Zuzu {s}"} if i < 8 else {f"Zebulon {s}"} for i, s in enumerate(surnames)] + [{f"Miriam {s}"} for s in surnames[:2]] + [{"Zuzu Grotrekar"}, {"Miriam Grotrekar"}]
+    assert linked(spark, rows) == sorted(expected, key=sorted)
+
+
 @pytest.mark.parametrize(("a", "b", "kind"), [("smith", "smith", 0), ("smith", "smiht", 1), ("smith", "smth", 1), ("smith", "smitth", 1), ("smith", "smirh", 1), ("smith", "smath", 2), ("smith", "stihm", None), ("a", "b", 2), ("", "", 0), ("", "b", 1), ("ab", "ba", 1)])
 def test_kinds_of_change(spark, a, b, kind):
     df = spark.createDataFrame([(a, b)], "a string, b string")
