@@ -170,9 +170,9 @@ def _minus(word: Column) -> Column:
 
 
 # Natural logarithms of how likely a writer chooses a change of the kind, before any are counted; a slip is rarer than an abbreviation.
-_LIKELY = {"middle": -1.2, "initial": -1.6, "nickname": -1.8, "part": -2.3, "abbreviation": -1.2, "slip": -3.9, "far": -9.0}
+_LIKELY = {"middle": -1.2, "initial": -1.6, "nickname": -1.8, "part": -2.3, "abbreviation": -1.2, "slip": -3.9, "far": -11.0}
 #: The same of a spelling that isn't established being a name of its own.
-_OWN = -8.0
+_OWN = -10.0
 #: Rounds in which the likelihoods are counted, and the uses that the first values weigh as much as.
 ROUNDS, PSEUDO_USES = 2, 2_000
 #: Forms under one key that are compared within a group; a longer list is split.
