@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessela.runtime import checkpoint
+from tessela.runtime import broadcast_if_small, checkpoint
 
 #: Items of a basket that one task holds at a time; a larger basket becomes pairs of chunks of about this size.
 CHUNK = 128
+#: Rows of an item from which it isn't joined by its key but by a broadcast; so many items are as few as all rows divided by it.
+HOT = 100_000
+#: Keys of large baskets or of hot items that are broadcast at most.
+FEW = 200_000
 
 
 def _pairs_within(items: Column) -> Column:
@@ -22,15 +26,11 @@ def basket_pairs(baskets: DataFrame, chunk: int = CHUNK) -> DataFrame:
     A basket of up to ``chunk`` items is expanded in one row. A larger one is cut into hashed chunks, and each pair of
     chunks is a group of its own, so the size of a task's group is bounded while the baskets' sizes aren't.
     """
-    sizes = baskets.groupBy("basket").agg(F.count(F.lit(1)).alias("n"))
-    sized = baskets.join(sizes, "basket").where("n > 1")
-    plain = sized.where(F.col("n") <= chunk).groupBy("basket").agg(F.array_sort(F.collect_list("item")).alias("items"))
-    pairs = plain.select(F.explode(_pairs_within(F.col("items"))).alias("p")).select("p.a", "p.b")
-    big = (
-        sized.where(F.col("n") > chunk)
-        .withColumn("parts", F.ceil(F.col("n") / F.lit(chunk)).cast("int"))
-        .withColumn("own", F.pmod(F.xxhash64("item"), F.col("parts")).cast("int"))
-    )
+    sizes = baskets.groupBy("basket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk)
+    large = broadcast_if_small(checkpoint(sizes), FEW)
+    plain = baskets.join(large.select("basket"), "basket", "left_anti").groupBy("basket").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    pairs = plain.where(F.size("items") > 1).select(F.explode(_pairs_within(F.col("items"))).alias("p")).select("p.a", "p.b")
+    big = baskets.join(large, "basket").withColumn("parts", F.ceil(F.col("n") / F.lit(chunk)).cast("int")).withColumn("own", F.pmod(F.xxhash64("item"), F.col("parts")).cast("int"))
     # Chunk own meets every chunk: key (low, high); the side says which of the two the item came from.
     spread = big.select("basket", "item", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     keyed = spread.groupBy("basket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")).agg(
@@ -58,7 +58,9 @@ def frequent_pairs(df: DataFrame, basket_col: str, item_col: str, min_count: int
     total = rows.select("basket").distinct().count()
     counts = rows.groupBy("item").agg(F.count(F.lit(1)).alias("c"))
     able = checkpoint(counts.where((F.col("c") >= min_count) & (F.col("c") * F.lit(float(min_lift)) <= F.lit(total))))
-    kept = rows.join(able.select("item"), "item", "left_semi")
+    hot = broadcast_if_small(checkpoint(counts.where(F.col("c") >= HOT).select("item")), FEW)
+    often, seldom = able.where(F.col("c") >= HOT).select("item"), able.where(F.col("c") < HOT).select("item")
+    kept = rows.join(broadcast_if_small(often, FEW), "item", "left_semi").unionByName(rows.join(hot, "item", "left_anti").join(seldom, "item", "left_semi"))
     joint = basket_pairs(kept, chunk).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count)
     joint = joint.join(able.select(F.col("item").alias("a"), F.col("c").alias("n_a")), "a").join(able.select(F.col("item").alias("b"), F.col("c").alias("n_b")), "b")
     lift = F.col("n") * F.lit(total).cast("double") / (F.col("n_a") * F.col("n_b"))

@@ -79,3 +79,12 @@ def test_normalised_sets(spark):
 def test_any_sets(spark, sets):
     named = [("t", i, s) for i, s in enumerate(sets)]
     assert {tuple(r) for r in set_similarity.similar_records(records(spark, named), 0.6).collect()} == brute(named, 0.6)
+
+
+def test_hot_items_and_large_baskets_change_nothing(spark, monkeypatch):
+    rng = random.Random(7)
+    baskets = [[1, *rng.sample(range(2, 30), 4)] for _ in range(60)] + [list(range(1, 60))] * 2
+    df = spark.createDataFrame([(b, i) for b, items in enumerate(baskets) for i in items], "b int, i int")
+    plain = {tuple(r) for r in cooccurrence.frequent_pairs(df, "b", "i", 3, 0.5).collect()}
+    monkeypatch.setattr(cooccurrence, "HOT", 10)
+    assert {tuple(r) for r in cooccurrence.frequent_pairs(df, "b", "i", 3, 0.5, chunk=7).collect()} == plain and plain
