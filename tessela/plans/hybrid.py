@@ -53,9 +53,9 @@ class HybridResult:
     meta: dict
 
     def run(self) -> tuple[list, dict]:
-        """The rows, and meta with results_returned and execution_time_ms filled in from this one execution."""
+        """The rows, k at most, and meta with results_returned and execution_time_ms filled in from this one execution."""
         start = time.perf_counter()
-        rows = self.rows.collect()
+        rows = self.rows.take(self.meta["k"])
         return rows, self.meta | {"results_returned": len(rows), "execution_time_ms": round((time.perf_counter() - start) * 1000, 3)}
 
 
