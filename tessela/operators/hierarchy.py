@@ -232,12 +232,17 @@ def expand_hierarchy(df: DataFrame, id_col: str, parent_col: str) -> DataFrame:
 
 
 def descendants(full: DataFrame, wanted: DataFrame, stretch: int = 4_096) -> DataFrame:
-    """(id, descendant) for the ids in wanted(id), below a circle's member without the members of the circle.
-
-    The nodes of a tree stand at the places 0, 1, 2, ... of its chain-first order, and a node's descendants are the places of its interval. So the
-    intervals are unrolled into places, long ones in stretches, and each place meets its one node: no row is looked at that isn't in the result."""
-    asked = full.join(wanted.select("id").distinct(), "id", "left_semi").where("interval_end - interval_start > 1")
-    cut = asked.select("id", "tree", "interval_end", F.explode(F.sequence(F.col("interval_start") + 1, F.col("interval_end") - 1, F.lit(stretch).cast("long"))).alias("lo"))
+    """(id, descendant) for the ids in wanted(id); a circle's member has the other members and all that hangs on them, as n_descendants counts.
+
+    The nodes of a tree stand at the places 0, 1, 2, ... of its chain-first order, and a node's descendants are the places of its interval; a circle's
+    member also has all places of the other members' trees. So the intervals are unrolled into places, long ones in stretches, and each place
+    meets its one node: no row is looked at that isn't in the result."""
+    asked = full.join(wanted.select("id").distinct(), "id", "left_semi")
+    below = asked.select("id", "tree", (F.col("interval_start") + 1).alias("first"), "interval_end").where("interval_end > first")
+    member = (F.col("in_loop") == 1) & (F.col("id") == F.col("tree"))
+    others = full.where(member).select("root_id", "tree", F.col("interval_start").alias("first"), "interval_end")
+    around = asked.where(member).select("id", "root_id").join(others, "root_id").where("id != tree").select("id", "tree", "first", "interval_end")
+    cut = below.unionByName(around).select("id", "tree", "interval_end", F.explode(F.sequence(F.col("first"), F.col("interval_end") - 1, F.lit(stretch).cast("long"))).alias("lo"))
     places = cut.select("id", "tree", F.explode(F.sequence("lo", F.least(F.col("lo") + stretch, "interval_end") - 1)).alias("at"))
     nodes = full.select(F.col("id").alias("descendant"), "tree", F.col("interval_start").alias("at"))
     return places.join(nodes, ["tree", "at"]).select("id", "descendant")

@@ -40,6 +40,14 @@ def test_trees_loops_repeats_and_nulls(spark):
     assert found == {(1, 2), (1, 3), (1, 12), (10, 11)}
 
 
+def test_descendants_of_circles_are_whole(spark):
+    pairs = [(1, 2), (2, 3), (3, 1), (4, 1), (5, 4), (6, 2), (7, 7), (8, 7), (9, 10), (10, 9), (11, None), (12, 11)]
+    full = check(spark, pairs)
+    found = [tuple(r) for r in descendants(full, full, stretch=2).collect()]
+    ring = {(a, b) for a in (1, 2, 3) for b in range(1, 7) if a != b}
+    assert len(found) == len(set(found)) and set(found) == ring | {(4, 5), (7, 8), (9, 10), (10, 9), (11, 12)}
+
+
 def test_long_chain_and_star(spark):
     check(spark, [(i, i - 1 if i else None) for i in range(130)] + [(1000 + i, 50) for i in range(40)])
 
